@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import near_dup, tokenize, top_n
+from tessera.llm import lookalike, mixing, near_dup, percentiles, segment_join, tokenize, top_n
 from tessera.llm.common import components, joined_text
 from tessera.runtime import spread, table
 
@@ -46,11 +46,88 @@ def p3_found(spark, sf):
     return best.select("example_id", "place", "paragraph_id")
 
 
+def _splits(spark, sf):
+    ex = spread(table(spark, sf, "examples").select("example_id", "split", "question", "context"))
+    sentences = F.flatten(F.filter(F.transform("context", lambda x: x["sentences"]), lambda y: y.isNotNull()))
+    return segment_join.cross_split_pairs(ex, "example_id", "split", F.col("question"), F.array_join(sentences, " "))
+
+
+def _split_pairs(spark, sf):
+    """(eval id, train id, eval_split) of all pairs."""
+    records, links = _splits(spark, sf)
+    ev = records.select(F.col("split").alias("eval_split"), F.col("class").alias("a"), F.col("example_id").alias("x"))
+    tr = records.where("split = 'train'").select(F.col("class").alias("b"), F.col("example_id").alias("y"))
+    return links.join(ev, ["eval_split", "a"]).join(tr, "b").select("x", "y", "eval_split")
+
+
+def p4_found(spark, sf):
+    return _split_pairs(spark, sf).select(F.least("x", "y").alias("example_id_a"), F.greatest("x", "y").alias("example_id_b"), "eval_split").distinct()
+
+
+def p4_report(spark, sf):
+    """(eval_split, source_dataset, n_records, n_overlapping, n_pairs) of the evaluation splits."""
+    n = _split_pairs(spark, sf).groupBy(F.col("x").alias("example_id"), F.col("eval_split").alias("split")).agg(F.count("*").alias("pairs"))
+    ev = table(spark, sf, "examples").where("split in ('validation', 'test')").groupBy("example_id", "split").agg(F.min("source_dataset").alias("source_dataset"))
+    return (
+        ev.join(n, ["example_id", "split"], "left").groupBy(F.col("split").alias("eval_split"), "source_dataset")
+        .agg(F.count("*").alias("n_records"), F.count("pairs").alias("n_overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"))
+    )
+
+
+def p5_found(spark, sf):
+    return percentiles.disagreeing(table(spark, sf, "benchmark_runs"), table(spark, sf, "latency_summaries"))
+
+
+def p5_percentiles(spark, sf):
+    """Exact p50 and p95 by benchmark and day (level 0), by benchmark (1) and of all (2)."""
+    g = ["benchmark_name", "run_day"]
+    p = percentiles.percentiles(percentiles.samples(table(spark, sf, "benchmark_runs")), g, "ms", [0.5, 0.95], [g, g[:1], []])
+    return p.select("level", *g, "n", "q", F.round("value", 6).alias("value"), F.col("bound").alias("error_bound"))
+
+
+def p5_combined(spark, sf):
+    """p50 and p95 of each benchmark from the two-digit histograms of its days, with their error bound."""
+    days = percentiles.digit_histogram(percentiles.samples(table(spark, sf, "benchmark_runs")), ["benchmark_name", "run_day"], "ms", 2)
+    p = percentiles.percentiles_of_histogram(days, ["benchmark_name"], [0.5, 0.95], 2)
+    return p.select("benchmark_name", "n", "q", F.col("value"), F.col("bound").alias("error_bound"))
+
+
+def _look(spark, sf):
+    ex = spread(table(spark, sf, "examples").select("example_id", "answer", "context", "supporting_facts"))
+    return ex, table(spark, sf, "entities")
+
+
+def p6_found(spark, sf):
+    return lookalike.looking_like(*_look(spark, sf))
+
+
+def p6_canonical(spark, sf):
+    """Every title and answer in its consistent form, with the entity it names."""
+    return lookalike.canonical_values(*_look(spark, sf))
+
+
+def _mix(spark, sf):
+    return mixing.mix(spread(table(spark, sf, "documents").select("doc_id", "source", "text")), table(spark, sf, "mix_targets"))
+
+
+def p8_copies(spark, sf):
+    """(doc_id, source, n_tokens, copies) of every document of a listed source."""
+    return _mix(spark, sf)[0]
+
+
+def p8_mix(spark, sf):
+    """Uses, tokens, actual and target share of each listed source."""
+    return _mix(spark, sf)[1]
+
+
 def p7_ids(spark, sf):
     return tokenize.encode_column(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_group_examples": p1_group_examples, "p3_found": p3_found, "p7_ids": p7_ids}
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_groups, p1_group_examples, p3_found, p4_found, p4_report, p5_found, p5_percentiles, p5_combined, p6_found, p6_canonical, p7_ids, p8_copies, p8_mix)
+}
 
 SQL = {
     "p3_found": """
@@ -58,4 +135,17 @@ SQL = {
         one AS (SELECT *, row_number() OVER (PARTITION BY example_id, paragraph_id ORDER BY score DESC, rank ASC NULLS LAST) AS d FROM r),
         p AS (SELECT example_id, paragraph_id, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, rank ASC NULLS LAST, paragraph_id) AS place FROM one WHERE d = 1)
         SELECT example_id, CAST(place AS INTEGER) AS place, paragraph_id FROM p WHERE place <= 5""",
+    "p5_found": """
+        WITH one AS (SELECT run_id, arg_min(struct_pack(b := benchmark_name, d := run_day, l := latency_samples_ms), recorded_at) AS r FROM benchmark_runs GROUP BY run_id),
+        s AS (SELECT r.b AS b, r.d AS d, unnest(r.l) AS ms FROM one),
+        p AS (SELECT b, d, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.95) AS p95 FROM s WHERE ms IS NOT NULL AND NOT isnan(ms) AND ms >= 0 GROUP BY b, d)
+        SELECT DISTINCT benchmark_name, run_day FROM latency_summaries JOIN p ON b = benchmark_name AND d = run_day
+        WHERE abs(p50_ms - p50) > 0.1 * abs(p50) OR abs(p95_ms - p95) > 0.1 * abs(p95)""",
+    "p5_percentiles": """
+        WITH one AS (SELECT run_id, arg_min(struct_pack(b := benchmark_name, d := run_day, l := latency_samples_ms), recorded_at) AS r FROM benchmark_runs GROUP BY run_id),
+        s AS (SELECT * FROM (SELECT r.b AS b, r.d AS d, unnest(r.l) AS ms FROM one) WHERE ms IS NOT NULL AND NOT isnan(ms) AND ms >= 0),
+        l AS (SELECT 0 AS level, b, d, ms FROM s UNION ALL SELECT 1, b, NULL, ms FROM s UNION ALL SELECT 2, NULL, NULL, ms FROM s),
+        q AS (SELECT * FROM (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) t(q)),
+        g AS (SELECT level, b, d, count(*) AS n, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.95) AS p95 FROM l GROUP BY level, b, d)
+        SELECT CAST(level AS INTEGER) AS level, b AS benchmark_name, d AS run_day, n, q, round(CASE WHEN q = 0.5 THEN p50 ELSE p95 END, 6) AS value, 0.0::DOUBLE AS error_bound FROM g, q""",
 }
