@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import lookalike, mixing, near_dup, percentiles, segment_join, tokenize, top_n
+from tessera.llm import lookalike, mixing, near_dup, pair_defects, percentiles, segment_join, tokenize, top_n
 from tessera.llm.common import components, joined_text
 from tessera.runtime import spread, table
 
@@ -41,6 +41,17 @@ def p1_group_examples(spark, sf):
     return n.join(ids, "group_id").select("group_id", "n_paragraphs", "source_example_ids")
 
 
+def _records(spark, sf):
+    gen = spread(table(spark, sf, "generations").select(F.lit("generations").alias("rec_table"), F.col("generation_id").alias("rec_id"), "question", "text", F.col("evidence").alias("reference")))
+    parts = F.transform("context", lambda p: F.concat_ws("\n", p["title"], F.array_join(p["sentences"], " ")))
+    ex = spread(table(spark, sf, "examples").select(F.lit("examples").alias("rec_table"), F.col("example_id").alias("rec_id"), "question", F.col("answer").alias("text"), F.array_join(parts, "\n").alias("reference")))
+    return gen.unionByName(ex)
+
+
+def p2_found(spark, sf):
+    return pair_defects.find_defects(_records(spark, sf))
+
+
 def p3_found(spark, sf):
     best = top_n.top_n(spread(table(spark, sf, "retrieved").select("example_id", "paragraph_id", "score", "rank")), "example_id", "paragraph_id", "score", "rank", 5)
     return best.select("example_id", "place", "paragraph_id")
@@ -126,7 +137,7 @@ def p7_ids(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p1_group_examples, p3_found, p4_found, p4_report, p5_found, p5_percentiles, p5_combined, p6_found, p6_canonical, p7_ids, p8_copies, p8_mix)
+    for f in (p1_found, p1_groups, p1_group_examples, p2_found, p3_found, p4_found, p4_report, p5_found, p5_percentiles, p5_combined, p6_found, p6_canonical, p7_ids, p8_copies, p8_mix)
 }
 
 SQL = {
