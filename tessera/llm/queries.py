@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import lookalike, mixing, near_dup, pair_defects, percentiles, segment_join, tokenize, top_n
+from tessera.llm import lookalike, mixing, near_dup, pair_defects, percentiles, residue, segment_join, tokenize, top_n
 from tessera.llm.common import components, joined_text
 from tessera.runtime import spread, table
 
@@ -135,9 +135,20 @@ def p7_ids(spark, sf):
     return tokenize.encode_column(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
+def p9_found(spark, sf):
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return residue.flag(docs).where("residue").select("doc_id").distinct()
+
+
+def p9_clean(spark, sf):
+    """(doc_id, text, lang, source, title) of the collection without residue; each doc_id once."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "title"))
+    return docs.join(residue.flag(docs).where("residue").select("doc_id").distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p1_group_examples, p2_found, p3_found, p4_found, p4_report, p5_found, p5_percentiles, p5_combined, p6_found, p6_canonical, p7_ids, p8_copies, p8_mix)
+    for f in (p1_found, p1_groups, p1_group_examples, p2_found, p3_found, p4_found, p4_report, p5_found, p5_percentiles, p5_combined, p6_found, p6_canonical, p7_ids, p8_copies, p8_mix, p9_found, p9_clean)
 }
 
 SQL = {
