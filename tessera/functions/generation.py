@@ -28,8 +28,8 @@ def messages(question: Column, evidence: Column) -> Column:
 
 def echo(evidence: Column) -> Column:
     """The first line of the evidence, or the abstaining answer without evidence."""
-    t = F.regexp_replace(F.coalesce(evidence, F.lit("")), r"(?U)^\s+|\s+$", "")
-    return F.when(t == "", F.lit(ABSTAIN)).otherwise(F.regexp_replace(F.element_at(F.split(t, "\n"), 1), r"(?U)^\s+|\s+$", ""))
+    t = F.regexp_replace(F.coalesce(evidence, F.lit("")), r"(?U)^\s+|(?<!\s)\s+$", "")
+    return F.when(t == "", F.lit(ABSTAIN)).otherwise(F.regexp_replace(F.element_at(F.split(t, "\n"), 1), r"(?U)^\s+|(?<!\s)\s+$", ""))
 
 
 def generate(df: DataFrame, key: str, question: str, evidence: str, make: Callable[[], Callable[[list[str]], list[str]]], batch: int = 16) -> DataFrame:

@@ -58,7 +58,7 @@ def space_count(x: Column) -> Column:
 
 def paragraph_text(sentences: Column) -> Column:
     """The sentences without outer white space, blank and null ones left out, joined by spaces."""
-    clean = F.transform(F.coalesce(sentences, F.array().cast("array<string>")), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    clean = F.transform(F.coalesce(sentences, F.array().cast("array<string>")), lambda s: F.regexp_replace(s, r"(?U)^\s+|(?<!\s)\s+$", ""))
     return F.array_join(F.filter(clean, lambda s: s.isNotNull() & (s != "")), " ")
 
 
@@ -80,14 +80,14 @@ def contains_answer(answer: Column, evidence: Column) -> Column:
 
 def excerpt(x: Column, limit: int = 420) -> Column:
     """The non-blank lines joined by spaces; if longer than limit, cut and closed with three dots."""
-    lines = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), "\n"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), "\n"), lambda s: F.regexp_replace(s, r"(?U)^\s+|(?<!\s)\s+$", "")), lambda s: s != "")
     one = F.array_join(lines, " ")
-    return F.when(F.length(one) <= limit, one).otherwise(F.concat(F.regexp_replace(F.substring(one, 1, limit - 3), r"(?U)\s+$", ""), F.lit("...")))
+    return F.when(F.length(one) <= limit, one).otherwise(F.concat(F.regexp_replace(F.substring(one, 1, limit - 3), r"(?U)(?<!\s)\s+$", ""), F.lit("...")))
 
 
 def strip_answer_labels(x: Column) -> Column:
     """A generated text without leading 'assistant' and 'final answer' labels, however many, and without outer white space."""
-    return F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), r"(?i)^(?:(?:assistant|final answer)\s*:?\s*)+", "")
+    return F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|(?<!\s)\s+$", ""), r"(?i)^(?:(?:assistant|final answer)\s*:?\s*)+", "")
 
 
 def slug(x: Column) -> Column:

@@ -45,7 +45,7 @@ def examples(raw: DataFrame) -> DataFrame:
 
 def normalize_columnar(raw: DataFrame) -> DataFrame:
     """Records with columnar context and facts as arrays of structs; sentences lose outer white space, blank ones are dropped, sentence numbers stay as they are."""
-    strip = lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    strip = lambda s: F.regexp_replace(s, r"(?U)^\s+|(?<!\s)\s+$", "")
     ctx = F.transform(F.arrays_zip("context.title", "context.sentences"), lambda p: F.struct(p["title"].alias("title"), F.filter(F.transform(p["sentences"], strip), lambda s: s != "").alias("sentences")))
     facts = F.transform(F.arrays_zip("supporting_facts.title", "supporting_facts.sent_id"), lambda f: F.struct(f["title"].alias("title"), f["sent_id"].alias("sent_id")))
     return raw.withColumn("context", ctx.cast(CONTEXT)).withColumn("supporting_facts", facts.cast(FACTS))
