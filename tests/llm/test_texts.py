@@ -22,7 +22,7 @@ def test_defects(text, want):
 
 
 def test_defects_over_tables(spark):
-    rows = [("t", "1", Q, "Berga Abb", "Berga Abbey is old. Alta Castle too."), ("t", "2", Q, "Berga Abbey", "Berga Abbey is old."), ("t", "2", Q, "Berga Abbey", None), ("t", "3", None, "x" * 200_000 + ".", None), ("t", "4", None, None, None), ("t", None, Q, None, None), (None, "5", "", "", None), ("t", "6", Q, "no", "nothing noble"), ("t", "7", Q, "Berga [c) \\E Corin Dal", "Corin Dalum \\E")]
+    rows = [("t", "1", Q, "Berga Abb", "Berga Abbey is old. Alta Castle too."), ("t", "2", Q, "Berga Abbey", "Berga Abbey is old."), ("t", "2", Q, "Berga Abbey", None), ("t", "3", None, "x" * 200_000 + ".", None), ("t", "4", None, None, None), ("t", None, Q, None, None), (None, "5", "", "", None), ("t", "6", Q, "no", "nothing noble"), ("t", "7", Q, "Corin Dal", "(b \\E [Corin Dalum")]
     df = spark.createDataFrame(rows, "rec_table string, rec_id string, question string, text string, reference string").withColumns({"ref": F.lit(1), "tok": F.lit(2), "cut": F.lit(3)})
     got = {(x.rec_id, x.defect) for x in pair_defects.find_defects(df).collect()}
     assert got == {("1", "truncated"), ("4", "empty"), ("5", "empty"), ("7", "truncated")}
