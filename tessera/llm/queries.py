@@ -151,6 +151,15 @@ QUERIES = {
     for f in (p1_found, p1_groups, p1_group_examples, p2_found, p3_found, p4_found, p4_report, p5_found, p5_percentiles, p5_combined, p6_found, p6_canonical, p7_ids, p8_copies, p8_mix, p9_found, p9_clean)
 }
 
+#: All evaluation and train records whose questions and contexts overlap: p(a, b, eval_split).
+_OVERLAPS = r"""
+        WITH r AS (SELECT DISTINCT example_id, split, list_distinct(regexp_extract_all(lower(question), '[\pL\pN]+')) AS q,
+          list_distinct(regexp_extract_all(lower(array_to_string(flatten(list_transform(context, lambda x: x.sentences)), ' ')), '[\pL\pN]+')) AS c FROM examples),
+        o AS (SELECT e.example_id AS a, t.example_id AS b, e.split AS eval_split, e.c AS ec, t.c AS tc FROM r e JOIN r t ON e.split IN ('validation', 'test') AND t.split = 'train'
+          WHERE len(list_intersect(e.q, t.q))::DOUBLE / greatest(len(e.q) + len(t.q) - len(list_intersect(e.q, t.q)), 1) >= 0.6),
+        p AS (SELECT a, b, eval_split FROM o WHERE len(list_intersect(ec, tc))::DOUBLE / greatest(len(ec) + len(tc) - len(list_intersect(ec, tc)), 1) >= 0.6)
+        """
+
 SQL = {
     "p3_found": """
         WITH r AS (SELECT DISTINCT example_id, paragraph_id, rank, score FROM retrieved WHERE score IS NOT NULL AND NOT isnan(score)),
@@ -170,4 +179,13 @@ SQL = {
         q AS (SELECT * FROM (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) t(q)),
         g AS (SELECT level, b, d, count(*) AS n, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.95) AS p95 FROM l GROUP BY level, b, d)
         SELECT CAST(level AS INTEGER) AS level, b AS benchmark_name, d AS run_day, n, q, round(CASE WHEN q = 0.5 THEN p50 ELSE p95 END, 6) AS value, 0.0::DOUBLE AS error_bound FROM g, q""",
+    "p1_found": r"""
+        WITH c AS (SELECT DISTINCT paragraph_id, title, sentences FROM corpus),
+        w AS (SELECT DISTINCT paragraph_id, unnest(regexp_extract_all(lower(concat_ws(' ', title, array_to_string(sentences, ' '))), '[\pL\pN]+')) AS w FROM c),
+        n AS (SELECT paragraph_id, count(*) AS n FROM w GROUP BY paragraph_id),
+        i AS (SELECT a.paragraph_id AS a, b.paragraph_id AS b, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.paragraph_id < b.paragraph_id GROUP BY ALL)
+        SELECT a AS paragraph_id_a, b AS paragraph_id_b FROM i JOIN n x ON x.paragraph_id = a JOIN n y ON y.paragraph_id = b WHERE k::DOUBLE / (x.n + y.n - k) >= 0.7""",
+    "p4_found": _OVERLAPS + "SELECT DISTINCT least(a, b) AS example_id_a, greatest(a, b) AS example_id_b, eval_split FROM p",
+    "p4_report": _OVERLAPS + """, n AS (SELECT a, eval_split, count(*) AS n FROM p GROUP BY ALL), e AS (SELECT example_id, split, min(source_dataset) AS source_dataset FROM examples WHERE split IN ('validation', 'test') GROUP BY ALL)
+        SELECT e.split AS eval_split, source_dataset, count(*) AS n_records, count(n) AS n_overlapping, coalesce(sum(n), 0)::BIGINT AS n_pairs FROM e LEFT JOIN n ON n.a = e.example_id AND n.eval_split = e.split GROUP BY ALL""",
 }
