@@ -63,3 +63,29 @@ def blinded(pairs: DataFrame, key: str, a: str, b: str, seed: int = 42) -> DataF
     """(key, first, second, swapped): the two answers of each pair in an order set by a hash of the key."""
     swap = F.pmod(hash_bits(F.lit(seed), F.col(key)), F.lit(2)) == 1
     return pairs.select(key, F.when(swap, F.col(b)).otherwise(F.col(a)).alias("first"), F.when(swap, F.col(a)).otherwise(F.col(b)).alias("second"), swap.alias("swapped"))
+
+
+def annotation_sample(own: DataFrame, other: DataFrame, key: str, own_name: str, other_name: str, own_target: int = 30, other_target: int = 10) -> DataFrame:
+    """(key, method, category, outcome) of failures to look at: own's failures where the other method succeeds, filled up in turns with failures of both; and the other's with smaller target.
+
+    own, other: (key, category) of each method's failures.
+    """
+    a, b = own.select(key, "category"), other.select(key, "category")
+
+    def part(x: DataFrame, y: DataFrame, name: str, target: int) -> DataFrame:
+        only = x.join(y.select(key), key, "left_anti").withColumn("outcome", F.lit(f"{name}_fail_only"))
+        both = x.join(y.select(key), key, "left_semi").withColumn("outcome", F.lit("both_fail"))
+        turn = F.row_number().over(Window.partitionBy("outcome", "category").orderBy(key))
+        place = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
+        rows = only.unionByName(both).withColumn("turn", turn).where(F.col("turn") <= target).withColumn("first", (F.col("outcome") == "both_fail").cast("int"))
+        return rows.orderBy("first", "turn", place).limit(target).select(key, F.lit(name).alias("method"), "category", "outcome")
+
+    return part(a, b, own_name, own_target).unionByName(part(b, a, other_name, other_target))
+
+
+def representatives(rows: DataFrame, key: str, wishes: list[Column], limit: int = 5) -> DataFrame:
+    """Up to limit rows: for each wish (a condition, in order of importance) the first row by key, each row once, then others by key."""
+    best = F.coalesce(*[F.when(w, F.lit(i)) for i, w in enumerate(wishes)], F.lit(len(wishes)))
+    w = Window.partitionBy("wish").orderBy(key)
+    ranked = rows.withColumn("wish", best).withColumn("turn", F.row_number().over(w))
+    return ranked.where(F.col("turn") <= limit).orderBy(((F.col("turn") > 1) | (F.col("wish") == len(wishes))).cast("int"), "wish", "turn").limit(limit).drop("wish", "turn")

@@ -109,3 +109,35 @@ def stage_order(stages: dict[str, tuple[str, ...]] = STAGES) -> list[str]:
         for s in ready:
             del todo[s]
     return done
+
+
+def reproducibility_checks(spark: SparkSession, first: DataFrame, second: DataFrame, key: str, metrics: list[str], settings: dict[str, Any] | None = None) -> DataFrame:
+    """Check rows for two runs: the same ids, no repeated ids, the metrics present and not null, settings as given, and equal metric values."""
+    checks: list[tuple[str, bool, str]] = []
+    for name, df in (("first", first), ("second", second)):
+        missing = [m for m in metrics if m not in df.columns]
+        checks.append((f"{name} has its metrics", not missing, ", ".join(missing)))
+        a = df.agg(F.count("*").alias("n"), F.countDistinct(key).alias("k"), *[F.count(m).alias(m) for m in metrics if m in df.columns]).first()
+        checks.append((f"{name} has unique ids", a["n"] == a["k"], f"{a['n']} rows, {a['k']} ids"))
+        checks.append((f"{name} has no null metric", all(a[m] == a["n"] for m in metrics if m in df.columns), ""))
+        for s, want in (settings or {}).items():
+            bad = df.where(~F.col(s).eqNullSafe(F.lit(want))).limit(1).count()
+            checks.append((f"{name} has {s} as fixed", not bad, str(want)))
+    x, y = first.select(key).distinct(), second.select(key).distinct()
+    lost = x.join(y, key, "left_anti").count() + y.join(x, key, "left_anti").count()
+    checks.append(("the ids are the same", lost == 0, f"{lost} in one run only"))
+    common = [m for m in metrics if m in first.columns and m in second.columns]
+    off = first.select(key, *common).exceptAll(second.select(key, *common)).count()
+    checks.append(("the metrics are the same", off == 0, f"{off} rows differ"))
+    return report(spark, checks)
+
+
+def union_runs(runs: list[DataFrame], same: list[str], unique: str, order: list[str]) -> DataFrame:
+    """All run summaries as one table, sorted by the order columns as strings; differing `same` columns or a repeated `unique` value are errors when it runs."""
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    bad = out.agg((F.countDistinct(F.to_json(F.struct(*same))) > 1).alias("differ"), (F.countDistinct(unique) < F.count("*")).alias("repeated"))
+    checked = out.crossJoin(F.broadcast(bad))  # one row
+    ok = F.when(F.col("differ"), F.raise_error(F.lit("the runs are of different protocols"))).when(F.col("repeated"), F.raise_error(F.lit("a run is repeated"))).otherwise(F.col(unique))
+    return checked.withColumn(unique, ok).drop("differ", "repeated").orderBy(*[F.col(c).cast("string") for c in order])

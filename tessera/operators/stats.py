@@ -146,3 +146,20 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """by, n, rho: correlation of average ranks, 0 without variance."""
     r = average_ranks(average_ranks(df.select(*by, x, y), x, "__rx", by), y, "__ry", by)
     return r.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.stddev_pop("__rx") == 0) | (F.stddev_pop("__ry") == 0), 0.0).otherwise(F.corr("__rx", "__ry")).alias("rho"))
+
+
+def comparison_table(values: DataFrame, key: str, run: str, metric: str, value: str, reference: str, binary: tuple[str, ...] = ("em",), replicates: int = 200, seed: int = SEED) -> DataFrame:
+    """One row for each other run and metric: n, means, absolute and relative delta (run - reference), interval of the mean delta, effect, test, p_value, p_holm over all rows.
+
+    values: (key, run, metric, value), each (key, run, metric) once. Binary metrics get McNemar's test, others the random-sign test; pairs are the keys that both runs have.
+    """
+    ref = values.where(F.col(run) == reference).select(key, metric, F.col(value).alias("b"))
+    p = values.where(F.col(run) != reference).select(key, run, metric, F.col(value).alias("a")).join(ref, [key, metric]).withColumn("diff", F.col("a") - F.col("b"))
+    by = [run, metric]
+    means = p.groupBy(*by).agg(F.avg("a").alias("mean"), F.avg("b").alias("reference_mean"))
+    ci = bootstrap_hash(p, by, key, "diff", replicates, seed).select(*by, "n", F.col("mean").alias("delta"), "low", "high")
+    eff = effect_size(p, by).select(*by, "effect")
+    tests = sign_test_hash(p.where(~F.col(metric).isin(*binary)), by, key, replicates, seed).select(*by, F.lit("random sign").alias("test"), "p_value")
+    tests = tests.unionByName(mcnemar(p.where(F.col(metric).isin(*binary)), by).select(*by, F.lit("mcnemar").alias("test"), "p_value"))
+    rows = means.join(ci, by).join(eff, by).join(tests, by).withColumn("relative_delta", relative_delta(F.col("reference_mean"), F.col("mean")))
+    return holm(rows, order=by).select(*by, "n", "mean", "reference_mean", "delta", "relative_delta", "low", "high", "effect", "test", "p_value", "p_holm")

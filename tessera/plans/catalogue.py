@@ -420,6 +420,20 @@ def sign_test_hash(spark, sf):
     return stats.sign_test_hash(pairs(spark, sf), ["comparison"], "example_id").select("comparison", "n", F.round("p_value", 9).alias("p_value"))
 
 
+@query()
+def comparison_table(spark, sf):
+    """Every other method against echo on both metrics, with intervals, tests and correction over all rows."""
+    one = predictions(spark, sf).groupBy("example_id", "method").agg(F.max("em").alias("em"), F.max("f1").alias("f1"))
+    return stats.comparison_table(one.unpivot(["example_id", "method"], ["em", "f1"], "metric", "value"), "example_id", "method", "metric", "value", "echo")
+
+
+@query()
+def annotation_sample(spark, sf):
+    """Failures of cover and echo to look at; the sizes are the sample's own."""
+    f = failures(spark, sf).groupBy("example_id", "method").agg(F.min("category").alias("category"))
+    return errors.annotation_sample(f.where("method = 'cover'"), f.where("method = 'echo'"), "example_id", "cover", "echo")
+
+
 @query()
 def bootstrap_numpy(spark, sf):
     return stats.bootstrap_exact(pairs(spark, sf), ["comparison"], "example_id", "diff")

@@ -221,3 +221,41 @@ def test_stream_appends_each_key_once(spark, tmp_path):
     (src / "b.json").write_text('{"id":"b","v":2}\n{"id":"c","v":3}\n')
     run()
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1, 2), ("b", 2, 4), ("c", 3, 6)]
+
+
+def test_comparisons_and_reports(spark):
+    rows = [(i, r, m, float((i * k) % 3 == 0)) for i in range(30) for k, r in enumerate(("base", "x", "y"), 1) for m in ("em", "f1")]
+    t = {(r.run, r.metric): r for r in stats.comparison_table(spark.createDataFrame(rows, "id int, run string, metric string, value double"), "id", "run", "metric", "value", "base", replicates=50).collect()}
+    assert set(t) == {(r, m) for r in "xy" for m in ("em", "f1")} and t["y", "em"].delta == pytest.approx(2 / 3) and t["y", "em"].p_value < 0.01 and t["x", "em"].test == "mcnemar"
+    assert all(v.p_holm >= v.p_value and v.low <= v.delta <= v.high for v in t.values())
+    a = spark.createDataFrame([("1", 1.0), ("2", 0.5)], "id string, f1 double")
+    same = {r.check: r.passed for r in provenance.reproducibility_checks(spark, a, a, "id", ["f1"]).collect()}
+    other = {r.check: r.passed for r in provenance.reproducibility_checks(spark, a, a.where("id = '1'"), "id", ["f1", "em"]).collect()}
+    assert all(same.values()) and not other["the ids are the same"] and not other["first has its metrics"]
+    runs = [spark.createDataFrame([(f"r{b}", "s", b)], "run string, split string, budget int") for b in (96, 128)]
+    assert [r.budget for r in provenance.union_runs(runs, ["split"], "run", ["budget"]).collect()] == [128, 96]
+    with pytest.raises(Exception, match="repeated"):
+        provenance.union_runs([runs[0], runs[0]], ["split"], "run", ["budget"]).collect()
+
+
+def test_samples_of_failures(spark):
+    own = spark.createDataFrame([(f"e{i}", "other") for i in range(6)], "id string, category string")
+    got = errors.annotation_sample(own, own.where("id > 'e3'"), "id", "a", "b", 5, 2).collect()
+    assert [r.outcome for r in got if r.method == "a"].count("a_fail_only") == 4 and len(got) == 7
+    rep = errors.representatives(own, "id", [F.col("id") == "e5", F.col("id") == "e1"], 3).collect()
+    assert {r.id for r in rep} == {"e5", "e1", "e0"}
+
+
+def test_command_line(tmp_path, capsys):
+    from tessera import cli
+
+    for n, ids in (("a", ["1", "2"]), ("b", ["3"])):
+        (tmp_path / n).write_text(json.dumps(records.split_manifest(ids, "dev", 1)))
+    cli.main(["validate-splits", str(tmp_path / "a"), str(tmp_path / "b")])
+    with pytest.raises(SystemExit):
+        cli.main(["validate-splits", str(tmp_path / "a"), str(tmp_path / "a")])
+    (tmp_path / "c").write_text("{}")
+    cli.main(["freeze", "--config", str(tmp_path / "c"), "--manifest", str(tmp_path / "a"), "--out", str(tmp_path / "f")])
+    cli.main(["verify-frozen", str(tmp_path / "f")])
+    cli.main(["queries"])
+    assert "method_summary" in capsys.readouterr().out
