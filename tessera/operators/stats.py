@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.metrics import average_ranks
+from tessera.runtime import materialize
 
 REPLICATES, SEED, CONFIDENCE, BATCH, EXACT = 10_000, 42, 0.95, 256, 20
 
@@ -155,6 +156,7 @@ def comparison_table(values: DataFrame, key: str, run: str, metric: str, value:
     """
     ref = values.where(F.col(run) == reference).select(key, metric, F.col(value).alias("b"))
     p = values.where(F.col(run) != reference).select(key, run, metric, F.col(value).alias("a")).join(ref, [key, metric]).withColumn("diff", F.col("a") - F.col("b"))
+    p = materialize(p, "pairs")  # five aggregations read it
     by = [run, metric]
     means = p.groupBy(*by).agg(F.avg("a").alias("mean"), F.avg("b").alias("reference_mean"))
     ci = bootstrap_hash(p, by, key, "diff", replicates, seed).select(*by, "n", F.col("mean").alias("delta"), "low", "high")
