@@ -85,52 +85,85 @@ def relevance(c: dict) -> float:
     return sum(w * c[k] for k, w in BASE.items())
 
 
+class _Row:
+    """What all selections of one row share: term sets, their question terms, base relevance, and similarities as they are needed."""
+
+    def __init__(self, cands: list[dict], question_terms: list[str]) -> None:
+        self.cands, self.question = cands, frozenset(question_terms)
+        self.sets = [frozenset(x["terms"]) for x in cands]
+        self.asked = [s & self.question for s in self.sets]
+        self.relevance = [relevance(c) for c in cands]
+        self.keys = [(c["title"], c["sentence_id"]) for c in cands]
+        self.tokens = [c["token_count"] for c in cands]
+        self._similar: dict[int, list[float]] = {}
+
+    def similar(self, i: int) -> list[float]:
+        row = self._similar.get(i)
+        if row is None:
+            s, n = self.sets[i], len(self.sets[i])
+            row = self._similar[i] = []
+            for t in self.sets:
+                both = len(s & t)
+                union = n + len(t) - both
+                row.append(both / union if union else 1.0)
+        return row
+
+
+_LAST: list = [None, None, None]
+
+
+def _row(cands: list[dict], question_terms: list[str]) -> _Row:
+    """The shared part of a row, kept while the plans of the same row follow each other."""
+    if _LAST[0] is not cands or _LAST[1] != question_terms:
+        _LAST[:] = [cands, question_terms, _Row(cands, question_terms)]
+    return _LAST[2]
+
+
 class _Greedy:
     """State of a greedy selection: what is taken, what is still allowed, and similarities kept up to date after each step."""
 
-    def __init__(self, cands: list[dict], budget: int) -> None:
-        self.c, self.budget, self.used = cands, budget, 0
-        self.open = list(range(len(cands)))
-        self.sets = [frozenset(x["terms"]) for x in cands]
-        self.near = [0.0] * len(cands)
+    def __init__(self, row: _Row, budget: int) -> None:
+        self.row, self.budget, self.used = row, budget, 0
+        self.open = list(range(len(row.cands)))
+        self.near = [0.0] * len(row.cands)
+        self.new = [len(a) for a in row.asked]  # question terms of a candidate that aren't covered yet
         self.covered: set[str] = set()
         self.titles: set[str] = set()
         self.taken: list[tuple[int, float]] = []
 
     def best(self, score) -> tuple[int, float] | None:
-        room = self.budget - self.used
+        room, tokens = self.budget - self.used, self.row.tokens
         top, at = None, -1
         for i in self.open:
-            if self.c[i]["token_count"] <= room:
+            if tokens[i] <= room:
                 s = round(score(i), 12)  # so that equal scores stay equal whatever the order of sums
                 if top is None or s > top:
                     top, at = s, i
         return None if top is None else (at, top)
 
     def take(self, i: int, score: float) -> None:
-        c, s = self.c[i], self.sets[i]
+        row = self.row
         self.taken.append((i, score))
-        self.used += c["token_count"]
-        self.covered |= s
-        self.titles.add(c["title"])
-        same = (c["title"], c["sentence_id"])
-        self.open = [j for j in self.open if (self.c[j]["title"], self.c[j]["sentence_id"]) != same]
+        self.used += row.tokens[i]
+        self.titles.add(row.cands[i]["title"])
+        same, similar = row.keys[i], row.similar(i)
+        fresh = row.asked[i] - self.covered
+        self.covered |= fresh
+        self.open = [j for j in self.open if row.keys[j] != same]
         for j in self.open:
-            t = self.sets[j]
-            union = len(s | t)
-            self.near[j] = max(self.near[j], len(s & t) / union if union else 1.0)
+            if similar[j] > self.near[j]:
+                self.near[j] = similar[j]
+            if fresh:
+                self.new[j] -= len(fresh & row.asked[j])
 
 
 def select_cover(cands: list[dict], question_terms: list[str], p: PackPlan) -> list[tuple[int, float]]:
     """Greedy on relevance, new question terms, new titles, redundancy and cost; the first pick is taken whatever its score."""
-    g, q = _Greedy(cands, p.budget), frozenset(question_terms)
-    rel = [relevance(c) for c in cands]
-
-    def score(i: int) -> float:
-        new = len((g.sets[i] & q) - g.covered) / max(len(q), 1)
-        bonus = 0.0 if cands[i]["title"] in g.titles else 1.0
-        return p.alpha * rel[i] + p.beta * new + p.title_bonus * bonus - p.gamma * g.near[i] - p.delta * (cands[i]["token_count"] / max(p.budget, 1))
-
+    row = _row(cands, question_terms)
+    g, terms = _Greedy(row, p.budget), max(len(row.question), 1)
+    fixed = [p.alpha * r - p.delta * (t / max(p.budget, 1)) for r, t in zip(row.relevance, row.tokens)]
+    titles = [c["title"] for c in cands]
+    score = lambda i: fixed[i] + p.beta * g.new[i] / terms + (0.0 if titles[i] in g.titles else p.title_bonus) - p.gamma * g.near[i]
     while (b := g.best(score)) and not (g.taken and b[1] < p.stop):
         g.take(*b)
     return g.taken
@@ -140,9 +173,9 @@ def select_mmr(cands: list[dict], question_terms: list[str], p: PackPlan) -> lis
     """Greedy on relevance against the largest similarity to what is taken."""
     if not 0.0 <= p.trade <= 1.0:
         raise ValueError("the trade-off must lie between 0 and 1")
-    g = _Greedy(cands, p.budget)
-    rel = [relevance(c) for c in cands]
-    while b := g.best(lambda i: p.trade * rel[i] - (1.0 - p.trade) * g.near[i]):
+    row = _row(cands, question_terms)
+    g = _Greedy(row, p.budget)
+    while b := g.best(lambda i: p.trade * row.relevance[i] - (1.0 - p.trade) * g.near[i]):
         g.take(*b)
     return g.taken
 
@@ -151,8 +184,9 @@ def select_query_cover(cands: list[dict], question_terms: list[str], p: PackPlan
     """Greedy on new question terms by token; ends when nothing new is covered."""
     if any(c["token_count"] <= 0 for c in cands):
         raise ValueError("candidates need a positive number of tokens")
-    g, q = _Greedy(cands, p.budget), frozenset(question_terms)
-    while (b := g.best(lambda i: len((g.sets[i] & q) - g.covered) / cands[i]["token_count"])) and b[1] > 0:
+    row = _row(cands, question_terms)
+    g = _Greedy(row, p.budget)
+    while (b := g.best(lambda i: g.new[i] / row.tokens[i])) and b[1] > 0:
         g.take(*b)
     return g.taken
 

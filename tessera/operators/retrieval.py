@@ -8,11 +8,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import joined, paragraph_text, token_list, tokens
-from tessera.runtime import counted_broadcast
+from tessera.runtime import counted_broadcast, materialize
 
 K1, B = 1.5, 0.75
 EPS = 1e-8
@@ -24,11 +24,6 @@ def check_parameters(k1: float, b: float) -> None:
         raise ValueError(f"BM25 needs k1 >= 0 and 0 <= b <= 1, got {k1} and {b}")
 
 
-def _part(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
-    idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
-    return idf * (tf * (k1 + 1)) / F.greatest(tf + k1 * (1 - b + b * dl / F.greatest(avgdl, F.lit(EPS))), F.lit(EPS))
-
-
 def rank_context(examples: DataFrame, top_k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
     """examples with ranked array<struct<pos, rank, score, title, sentences, text>>: the top_k paragraphs of each example's own context.
 
@@ -112,13 +107,16 @@ def rank_corpus(index: BM25Index, queries: DataFrame, query_id: str, question: s
     wanted = q.select("term").distinct()
     small = index.postings.join(counted_broadcast(wanted), "term", "left_semi")
     df = small.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = q.join(df, "term").crossJoin(F.broadcast(index.stats))
-    hits = small.join(weighted, "term").join(index.docs, "key")
-    part = F.col("qf") * _part(F.col("tf").cast("double"), F.col("df").cast("double"), F.col("n").cast("double"), F.col("dl").cast("double"), F.col("avgdl"), index.k1, index.b)
-    scored = hits.groupBy("qid", "key").agg(F.sum(part).alias("score"))
+    weights = materialize(q.join(df, "term").crossJoin(F.broadcast(index.stats.select("n"))).select("qid", "term", (F.col("qf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("weight")), "weights")
+    mean = index.stats.select("avgdl")
+    tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
+    impact = tf * (index.k1 + 1) / F.greatest(tf + index.k1 * (1 - index.b + index.b * dl / F.greatest(F.col("avgdl"), F.lit(EPS))), F.lit(EPS))
+    impacts = small.join(index.docs, "key").crossJoin(F.broadcast(mean)).select("term", "key", impact.alias("impact"))  # once a posting, whatever the number of queries
+    scored = impacts.join(counted_broadcast(weights), "term").groupBy("qid", "key").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
     by = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "key")
-    best = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)
+    best = materialize(scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k), "best")  # top_k rows a query
+    full = best.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= top_k).select("qid")
     first = F.broadcast(index.docs.select("key").orderBy("key").limit(top_k))
-    fill = queries.select(F.col(query_id).alias("qid")).distinct().crossJoin(first).join(scored.select("qid", "key"), ["qid", "key"], "left_anti").select("qid", "key", F.lit(0.0).alias("score"))
+    fill = queries.select(F.col(query_id).alias("qid")).distinct().join(full, "qid", "left_anti").crossJoin(first).join(best.select("qid", "key"), ["qid", "key"], "left_anti").select("qid", "key", F.lit(0.0).alias("score"))
     all_ = best.select("qid", "key", "score").unionByName(fill)
     return all_.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k).select(F.col("qid").alias(query_id), F.col("key").alias(index.key), "rank", "score")

@@ -13,7 +13,7 @@ from tessera.operators import corpus, errors, metrics, packing, provenance, retr
 from tessera.operators.packing import PackPlan
 from tessera.plans import sqltext as q
 from tessera.plans import sweep
-from tessera.runtime import first_delivery, materialize, spread, table
+from tessera.runtime import first_delivery, materialize, table
 from tessera.sources import records
 
 QUERIES: dict = {}
@@ -68,7 +68,7 @@ def ranked(spark, sf) -> DataFrame:
 
 
 def cands(spark, sf) -> DataFrame:
-    return packing.candidates(spread(ranked(spark, sf))).select("eid", "question_terms", "cands", "supporting_facts")
+    return packing.candidates(ranked(spark, sf)).select("eid", "question_terms", "cands", "supporting_facts")
 
 
 # Text

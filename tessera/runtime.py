@@ -82,9 +82,14 @@ def counted_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
 
 
 def first_delivery(df: DataFrame, keys: list[str], at: str = "ingested_at") -> DataFrame:
-    """One row for each key: the earliest delivery (null times last, then by the row's hash, so the choice is fixed)."""
+    """One row for each key: the earliest delivery (null times last, then by the row's hash, so the choice is fixed).
+
+    The number of partitions is that of the session, and stays so: what follows is often Python work
+    on each row, for which partitions merged by size would be too few.
+    """
     from pyspark.sql import Window
 
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     order = [F.col(at).asc_nulls_last()] if at in df.columns else []
     w = Window.partitionBy(*keys).orderBy(*order, F.xxhash64(*[F.col(c) for c in df.columns if c != at and "map" not in dict(df.dtypes)[c]]))
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
