@@ -110,6 +110,7 @@ SLOT_KINDS = {
     "square": r"\[(?:INSERT |YOUR |ENTER |ADD |Insert |Your |insert |your )?[A-Z][A-Z0-9]*(?:[_. ][A-Z0-9]+){0,3}\]|\[(?:[Ii]nsert|[Yy]our|[Ee]nter) [A-Za-z ]{2,30}\]", "brace": r"(?<![\w\\$#{}^_])\{[A-Za-z][A-Za-z0-9]*(?:[_.][A-Za-z0-9]+){0,3}\}(?!\})",
 }
 _SLOT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SLOT_KINDS.items()))
+_SLOT_SIGN = re.compile(r"[{<\[$%@_]")  # every slot holds one of them
 #: Words by which a text speaks about slots, messages or filler instead of holding them.
 CUES = frozenset("written writes write wrote typed word slot slots placeholder placeholders variable variables syntax template templates means denotes notation quoted spelled literal literally string sic".split())
 
@@ -133,7 +134,7 @@ def passages(text: str) -> list[str]:
 def loops(words: list[str]) -> bool:
     """True if the same one to three words come again and again, four times or more, and nothing else."""
     n = len(words)
-    return any(n >= 4 * k and words[:-k] == words[k:] for k in (1, 2, 3))
+    return len(set(words)) <= 3 and any(n >= 4 * k and words[:-k] == words[k:] for k in (1, 2, 3))
 
 
 def features(passage: str, lexicon: frozenset[str] = frozenset()) -> tuple[list[str], int]:
@@ -143,7 +144,7 @@ def features(passage: str, lexicon: frozenset[str] = frozenset()) -> tuple[list[
     slots are described by their slot kinds and by which cue words stand beside them instead,
     because a slot may stand in any sentence. Passages that only repeat a few words have a feature for it.
     """
-    slots = [m.lastgroup for m in _SLOT.finditer(passage)]
+    slots = [m.lastgroup for m in _SLOT.finditer(passage)] if _SLOT_SIGN.search(passage) else []
     rest = _SLOT.sub(" ⟦slot⟧ ", passage) if slots else passage
     toks = []
     for t in _TOKEN.findall(rest):
@@ -174,12 +175,27 @@ def trusted(text: str) -> bool:
     return len(text) <= 300 and _TRUSTED.search(text) is not None
 
 
+class _Names(dict):
+    """The feature of each token as written (see features), kept for the next time."""
+
+    def __init__(self, lexicon: frozenset[str]) -> None:
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, t: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        self[t] = f = "0" if t[0].isdigit() else t if not t[0].isupper() else low if (low := t.lower()) in self.lexicon else "⟦name⟧"
+        return f
+
+
 class ResidueModel:
     """Naive Bayes weights of features (log odds of residue), learnt from trusted and unlabelled passages."""
 
     def __init__(self, weights: dict[str, float], prior: float, lexicon: frozenset[str]) -> None:
         self.weights, self.prior, self.lexicon = weights, prior, lexicon
-        self.strong = frozenset(f for f, w in weights.items() if w > 1.0 and " " not in f)
+        self.token = _Names(lexicon).__getitem__
+        self.pairs = {tuple(f.split(" ")): w for f, w in weights.items() if " " in f}
 
     def score(self, passage: str) -> float:
         """Log odds that a passage is residue; fewer than two words without a slot never are."""
@@ -190,13 +206,19 @@ class ResidueModel:
         return self.prior + sum(w.get(f, 0.0) for f in fs)
 
     def residue(self, text: str | None) -> bool:
-        """The decision for a record: one passage is enough."""
-        if not text:
-            return False
-        for p in passages(text):
-            if (len(set(p.split())) < 4 or "{" in p or "<" in p or "[" in p or "$" in p or "%" in p or "@" in p or "_" in p or not self.strong.isdisjoint(_TOKEN.findall(p.lower()))) and self.score(p) > 0:
-                return True
-        return False
+        """The decision for a record: every passage is scored, and one is enough."""
+        return bool(text) and any(self._quick(p) > 0 and self.score(p) > 0 for p in passages(text))
+
+    def _quick(self, passage: str) -> float:
+        """The score (but for rounding, upwards) without lists of features; 1 if slots, loops or few words need score()."""
+        if _SLOT_SIGN.search(passage):
+            return 1.0
+        toks = list(map(self.token, _TOKEN.findall(passage)))
+        if "0" in toks:
+            toks = [t for i, t in enumerate(toks) if t != "0" or not i or toks[i - 1] != "0"]
+        if len(set(toks)) < 4:
+            return 1.0
+        return self.prior + 1e-9 + sum(filter(None, map(self.weights.get, toks))) + sum(filter(None, map(self.pairs.get, zip(["⟦start⟧", *toks], [*toks, "⟦end⟧"]))))
 
 
 def fit(unlabelled: list[str], known: list[str], rounds: int = 6) -> ResidueModel:

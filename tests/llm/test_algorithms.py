@@ -204,5 +204,15 @@ def test_residue_is_told_from_talk_about_it(spark):
     assert residue.flag(df.limit(0)).count() == 0
 
 
+def test_every_passage_is_scored():
+    words = frozenset("gust rowed past plain".split())
+    pair = residue.ResidueModel({"gust rowed": 3.0}, -2.0, words)
+    weak = residue.ResidueModel({w: 0.9 for w in words}, -3.0, words)
+    number = residue.ResidueModel({"0": 3.0}, -2.0, words)
+    name = residue.ResidueModel({"⟦name⟧": 3.0}, -2.0, words)
+    assert all(m.residue("Nothing here. " + t) for m, t in ((pair, "gust rowed past plain"), (weak, "gust rowed past plain"), (number, "gust 503 rowed past plain"), (name, "503 Qorv rowed past plain gust")))
+    assert not any(m.residue("past plain rowed far gust") for m in (pair, number, name))
+
+
 def test_float_layout_is_ieee():
     assert percentiles.to_ordered(np.array([1.0]))[0] == struct.unpack(">Q", struct.pack(">d", 1.0))[0] | 1 << 63
