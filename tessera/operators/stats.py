@@ -149,7 +149,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return r.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.stddev_pop("__rx") == 0) | (F.stddev_pop("__ry") == 0), 0.0).otherwise(F.corr("__rx", "__ry")).alias("rho"))
 
 
-def comparison_table(values: DataFrame, key: str, run: str, metric: str, value: str, reference: str, binary: tuple[str, ...] = ("em",), replicates: int = 200, seed: int = SEED) -> DataFrame:
+def comparison_table(values: DataFrame, key: str, run: str, metric: str, value: str, reference: str, binary: tuple[str, ...] = ("em",), replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
     """One row for each other run and metric: n, means, absolute and relative delta (run - reference), interval of the mean delta, effect, test, p_value, p_holm over all rows.
 
     values: (key, run, metric, value), each (key, run, metric) once. Binary metrics get McNemar's test, others the random-sign test; pairs are the keys that both runs have.

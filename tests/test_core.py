@@ -223,6 +223,12 @@ def test_stream_appends_each_key_once(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1, 2), ("b", 2, 4), ("c", 3, 6)]
 
 
+def test_comparison_table_draws_ten_thousand_replicates(spark):
+    rows = [(i, r, "f1", float(r == "x") + i * 1e-3) for i in range(30) for r in ("base", "x")]
+    t = stats.comparison_table(spark.createDataFrame(rows, "id int, run string, metric string, value double"), "id", "run", "metric", "value", "base").collect()
+    assert len(t) == 1 and t[0].p_value == pytest.approx(1 / 10_001)
+
+
 def test_comparisons_and_reports(spark):
     rows = [(i, r, m, float((i * k) % 3 == 0)) for i in range(30) for k, r in enumerate(("base", "x", "y"), 1) for m in ("em", "f1")]
     t = {(r.run, r.metric): r for r in stats.comparison_table(spark.createDataFrame(rows, "id int, run string, metric string, value double"), "id", "run", "metric", "value", "base", replicates=50).collect()}
