@@ -16,7 +16,7 @@ from tessera.runtime import counted_broadcast, materialize
 ROWS = 4
 #: Mantissa bits kept of a register beside its 6 bits of leading zeros.
 MANTISSA = 10
-#: A band bucket with more members is split by a second band instead of being paired.
+#: A band bucket with more members is paired in blocks of about as many.
 HOT_BUCKET = 1024
 
 
@@ -105,6 +105,15 @@ def _pairs(bands_df: DataFrame, keys: list[str], floor_bits: int) -> DataFrame:
     return left.join(right, keys).where(F.col("a") < F.col("b")).where(differ <= floor_bits).select("a", "b")
 
 
+def _hot_pairs(rows: DataFrame, keys: list[str], floor_bits: int) -> DataFrame:
+    """As _pairs, for rows with the number of blocks of their bucket: each pair of blocks meets in a join key of its own, each pair of rows once."""
+    rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    left = rows.select(*keys, F.col("id").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("own").alias("p"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("q"))
+    right = rows.select(*keys, F.col("id").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("own").alias("q"), F.explode(F.expr("sequence(0, own)")).alias("p"))
+    differ = F.expr("bit_count(a1 ^ b1) + bit_count(a2 ^ b2)")
+    return left.join(right, [*keys, "p", "q"]).where("p < q or a < b").where(differ <= floor_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(df: DataFrame, key: str, text, threshold: float = 0.7, bands: int = 28) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (key, class) of every row with words; links (a, b, overlap) between class representatives.
 
@@ -118,8 +127,8 @@ def near_duplicates(df: DataFrame, key: str, text, threshold: float = 0.7, bands
     likely pairs leave it; the estimate on whole registers, corrected for the chance that unequal
     minima share a register, decides what is verified; verification intersects the word sets.
     A pair at the threshold 0.7 is missed with probability (1 - 0.7^4)^28 = 0.0005, one at 0.8
-    with 5e-7. Buckets over HOT_BUCKET members are keyed again with each other band, so a bucket
-    of boilerplate isn't paired; pairs above the threshold nearly all share a second band.
+    with 5e-7. Buckets over HOT_BUCKET members are paired whole too, in blocks, so that no task
+    gets a bucket of boilerplate alone; that takes time by the square of the bucket.
     """
     k = bands * ROWS
     df = df.select(F.col(key).cast("string").alias("__key"), text.alias("__text"))
@@ -136,14 +145,12 @@ def near_duplicates(df: DataFrame, key: str, text, threshold: float = 0.7, bands
     coarse = banded.groupBy("band", F.expr("pmod(bk, 65521)").alias("m")).count().where(F.col("count") > HOT_BUCKET).select("band", "m")
     found = coarse.limit(1).count()
     if found:
-        hot = banded.withColumn("m", F.expr("pmod(bk, 65521)")).join(F.broadcast(coarse), ["band", "m"]).groupBy("band", "bk").count().where(F.col("count") > HOT_BUCKET).select("band", "bk")
+        hot = banded.withColumn("m", F.expr("pmod(bk, 65521)")).join(F.broadcast(coarse), ["band", "m"]).groupBy("band", "bk").count().where(F.col("count") > HOT_BUCKET).select("band", "bk", F.ceil(F.col("count") / HOT_BUCKET).cast("int").alias("blocks"))
         hot = materialize(hot, "hot")
         found = hot.count()
     if found:
         hot = counted_broadcast(hot, found)
-        hot_rows = banded.join(hot, ["band", "bk"], "left_semi").select("id", F.col("band").alias("band0"), F.col("bk").alias("bk0"))
-        again = hot_rows.join(base.select("id", "s1", "s2", "keys"), "id").select("id", "s1", "s2", "band0", "bk0", F.posexplode("keys").alias("band", "bk")).where("band <> band0")
-        cand = _pairs(banded.join(hot, ["band", "bk"], "left_anti"), ["band", "bk"], most).unionByName(_pairs(again, ["band0", "bk0", "band", "bk"], most))
+        cand = _pairs(banded.join(hot, ["band", "bk"], "left_anti"), ["band", "bk"], most).unionByName(_hot_pairs(banded.join(hot, ["band", "bk"]), ["band", "bk"], most))
     else:
         cand = _pairs(banded, ["band", "bk"], most)
     cand = materialize(cand.distinct(), "candidates")

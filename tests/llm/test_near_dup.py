@@ -56,6 +56,14 @@ def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
     assert got <= want and len(got) >= 0.995 * len(want)
 
 
+def test_hot_buckets_find_what_cold_ones_do(spark, monkeypatch):
+    rows = make(2, groups=3, per=30)
+    cold, _, _ = run(spark, rows, bands=4)  # few bands, so many pairs share just one
+    monkeypatch.setattr(near_dup, "HOT_BUCKET", 5)
+    hot, _, _ = run(spark, rows, bands=4)
+    assert cold and hot == cold
+
+
 def test_empty_table(spark):
     got, members, links = run(spark, [])
     assert not got and members.count() == 0 and links.count() == 0
