@@ -158,7 +158,8 @@ def canonical_values(examples: DataFrame, entities: DataFrame) -> DataFrame:
     """(example_id, field, pos, value, canonical, entity_id): every value in its consistent form.
 
     The canonical form is the name of the entity that the value is or looks like; other values are
-    normalized by table (see plain). Exact names and plain ASCII without odd spacing stay in the JVM.
+    normalized by table (see plain). Exact names and plain ASCII without odd spacing stay in the JVM,
+    but for ASCII that a name in other letters looks like.
     """
     names = _names(entities)
     spelled = dict(names)
@@ -178,8 +179,10 @@ def canonical_values(examples: DataFrame, entities: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32())], names=["example_id", "field", "pos", "value", "canonical", "entity_id"])
 
     one = entities.where("name is not null").groupBy(F.col("name").alias("value")).agg(F.min("entity_id").cast("int").alias("entity_id"))
-    v = values(examples).distinct().join(F.broadcast(one), "value", "left")
-    simple = F.col("entity_id").isNotNull() | F.col("value").rlike(r"^[!-~]+( [!-~]+)*$")
+    twins = sorted({x for n in spelled.values() if not n.isascii() and (x := shape(n)).isascii()})
+    twins = examples.sparkSession.createDataFrame([(x, True) for x in twins], "value string, twin boolean")
+    v = values(examples).distinct().join(F.broadcast(one), "value", "left").join(F.broadcast(twins), "value", "left")
+    simple = F.col("entity_id").isNotNull() | F.col("twin").isNull() & F.col("value").rlike(r"^[!-~]+( [!-~]+)*$")
     easy = v.where(simple).select("example_id", "field", "pos", "value", F.col("value").alias("canonical"), "entity_id")
     hard = v.where(~simple).select("example_id", "field", "pos", "value").mapInArrow(run, "example_id string, field string, pos int, value string, canonical string, entity_id int")
     return easy.unionByName(hard)

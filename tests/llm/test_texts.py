@@ -67,3 +67,11 @@ def test_values_of_tables(spark):
 
 def test_plain_form():
     assert lookalike.plain("Ｆｕｌｌ  wіdth​") == "Full width" and lookalike.plain("Тивоза") == "Тивоза"
+
+
+def test_ascii_value_gets_the_name_in_other_letters(spark):
+    ex = spark.createDataFrame([("e1", "Novovo", None, None), ("e2", "Nowhere", None, None)], "example_id string, answer string, context array<struct<title:string>>, supporting_facts array<struct<title:string>>")
+    en = spark.createDataFrame([(5, "Νονονο")], "entity_id int, name string")
+    got = {r.example_id: (r.canonical, r.entity_id) for r in lookalike.canonical_values(ex, en).collect()}
+    assert got == {"e1": ("Νονονο", 5), "e2": ("Nowhere", None)}
+    assert [tuple(r) for r in lookalike.looking_like(ex, en).collect()] == [("e1", "answer", 0, 5)]
