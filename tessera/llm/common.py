@@ -2,11 +2,73 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.runtime import materialize
 
+#: Bytes of a word's hash in a packed word set.
+WORD_BYTES = 5
+_words = re.compile(r"[^\W_]+").findall
+
+
+class _Hashes(dict):
+    """The packed hash of each word seen, emptied when it holds too many."""
+
+    def __missing__(self, word: str) -> bytes:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))[:WORD_BYTES]
+        return h
+
+
+_hash = _Hashes().__getitem__
+
+
+def packed_words(text: str) -> bytes:
+    """The distinct words (maximal runs of letters and digits of the lower-cased text) as WORD_BYTES bytes each, sorted.
+
+    Two different words of a pair of 60-word texts share a hash with probability 2e-9.
+    """
+    return b"".join(sorted(set(map(_hash, _words(text.lower())))))
+
+
+def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all sets one after the other as 64-bit integers, size of each set) of packed word sets."""
+    flat = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, WORD_BYTES)
+    wide = np.zeros((len(flat), 8), np.uint8)
+    wide[:, :WORD_BYTES] = flat
+    return wide.view("<u8").reshape(-1).astype(np.uint64), np.fromiter(map(len, blobs), np.int64, len(blobs)) // WORD_BYTES
+
+
+def shared_words(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """How many words the packed sets a[i] and b[i] share, for each i (at most 2^24 pairs)."""
+    x, nx = unpack(a)
+    y, ny = unpack(b)
+    row = np.concatenate([np.repeat(np.arange(len(a)), nx), np.repeat(np.arange(len(b)), ny)]).astype(np.uint64)
+    keys = np.sort((row << np.uint64(8 * WORD_BYTES)) | np.concatenate([x, y]))
+    twice = keys[:-1][keys[1:] == keys[:-1]] >> np.uint64(8 * WORD_BYTES)
+    return np.bincount(twice.astype(np.int64), minlength=len(a))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A fixed bijection of 64-bit integers that spreads their bits."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def fingerprints(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers of each (non-empty) set that don't depend on the order of its words."""
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    if not len(sizes):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return np.add.reduceat(mix(flat), starts), np.add.reduceat(mix(mix(flat ^ np.uint64(0x5851F42D4C957F2D))), starts)
+
 
 def word_hashes(text: Column) -> Column:
     """The distinct words (maximal runs of letters and digits of the lower-cased text) as 64-bit hashes.
@@ -21,11 +83,13 @@ def joined_text(title: Column, sentences: Column) -> Column:
     return F.concat_ws(" ", title, F.array_join(sentences, " "))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
     """(node, component) of an undirected edge table: smallest node of each component.
 
     Alternates large-star and small-star steps until no edge changes; each step is one or two
     aggregations, so no group is ever collected, and each result is written to the shared folder.
+    The number of rounds grows with the logarithm of the largest component; components that
+    haven't settled after `rounds` rounds are an error, never a partial result.
     """
     e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     before = None
@@ -40,5 +104,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components haven't settled after {rounds} rounds")
     stars = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

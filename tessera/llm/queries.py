@@ -18,13 +18,13 @@ def _near(spark, sf):
 
 
 def p1_found(spark, sf):
-    members, links = _near(spark, sf)
-    return near_dup.expand_pairs(members, links, "paragraph_id").select(F.col("x").alias("paragraph_id_a"), F.col("y").alias("paragraph_id_b"))
+    return _near(spark, sf).pairs().select(F.col("x").alias("paragraph_id_a"), F.col("y").alias("paragraph_id_b"))
 
 
 def p1_groups(spark, sf):
-    """(paragraph_id, group_id, n_links): the group of near-copies of every paragraph with words, and its class's links."""
-    members, links = _near(spark, sf)
+    """(paragraph_id, group_id, n_links): the group of near-copies of every paragraph with words (named by its smallest id), and its class's links."""
+    near = _near(spark, sf)
+    members, links = near.members, near.links
     comp = components(links)
     deg = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     return (

@@ -34,10 +34,10 @@ def make(seed, groups=25, per=4):
 
 def run(spark, rows, **kw):
     df = spark.createDataFrame(rows, "id string, t string").withColumns({"k": F.lit(1), "w": F.lit("x"), "class": F.lit(2), "n": F.lit(3)})
-    members, links = near_dup.near_duplicates(df, "id", F.col("t"), **kw)
-    got = near_dup.expand_pairs(members, links, "id").collect()
+    near = near_dup.near_duplicates(df, "id", F.col("t"), **kw)
+    got = near.pairs().collect()
     assert len(got) == len({tuple(x) for x in got})
-    return {tuple(x) for x in got}, members, links
+    return {tuple(x) for x in got}, near.members, near.links
 
 
 def test_equals_all_pairs_with_nulls_copies_and_long_texts(spark):
@@ -80,7 +80,7 @@ def test_title_and_sentences_join_without_nulls(spark):
 
 
 @pytest.mark.parametrize("j", [0.75, 0.9])
-def test_registers_estimate_overlap(j):
+def test_registers_agree_as_often_as_words_are_shared(j):
     import numpy as np
 
     rng = np.random.default_rng(1)
@@ -88,5 +88,35 @@ def test_registers_estimate_overlap(j):
     a = rng.integers(0, 2**63, n, dtype=np.uint64)
     keep = int(round(2 * n * j / (1 + j)))
     b = np.concatenate([a[:keep], rng.integers(0, 2**63, n - keep, dtype=np.uint64)])
-    r = near_dup.registers(np.concatenate([a, b]), np.array([0, n]), 1024)
+    r = near_dup.registers(np.concatenate([a, b]), np.array([n, n]), 256)
     assert abs((r[0] == r[1]).mean() - keep / (2 * n - keep)) < 0.06
+
+
+@pytest.mark.parametrize("n", [4, 8, 20, 60])
+def test_few_pairs_at_the_threshold_share_no_band(n):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    times, same = 4000, int(np.ceil(0.7 * n))
+    h = rng.integers(0, 2**40, (times, n), dtype=np.uint64)
+    cut = same + (n - same) // 2
+    a, b = h[:, :cut], np.concatenate([h[:, :same], h[:, cut:]], 1)
+    keys = [near_dup.band_keys(near_dup.registers(x.reshape(-1), np.full(times, x.shape[1]), 28)) for x in (a, b)]
+    assert (~(keys[0] == keys[1]).any(1)).mean() < 0.002
+
+
+def test_a_key_with_several_texts_belongs_to_the_class_of_each(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [("x", one), ("x", two), ("y", two), ("z", one + " more")]
+    got, members, _ = run(spark, rows)
+    assert got == {("x", "y"), ("x", "z")}
+    assert {tuple(r) for r in members.collect()} == {("x", "x"), ("y", "x"), ("z", "z")}
+
+
+def test_one_cluster_of_thousands_of_near_copies(spark):
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(f"k{i:04d}", " ".join([*base, f"own{i}", f"x{r.randrange(50)}"])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id string, t string").repartition(4)
+    links = near_dup.near_duplicates(df, "id", F.col("t")).links
+    assert links.count() == 2000 * 1999 // 2
