@@ -135,11 +135,12 @@ def _most_differing(threshold: float, registers_used: int, width: float = 4.0) -
 
 
 def _likely(a1, a2, b1, b2, most: int, threshold: float) -> np.ndarray:
-    """Which pairs of signatures may reach the threshold, by their sizes and the collision-corrected estimate of their overlap."""
-    na, nb = (a2 & np.uint64(65535)).astype(np.int64), (b2 & np.uint64(65535)).astype(np.int64)
+    """Places of the pairs of signatures that may reach the threshold, by the collision-corrected estimate of their overlap and by their sizes."""
+    differ = np.bitwise_count(a1 ^ b1) + np.bitwise_count((a2 ^ b2) >> np.uint64(16))
+    at = np.flatnonzero((differ <= most) | (np.minimum(a2 & np.uint64(65535), b2 & np.uint64(65535)) < FEW_WORDS))
+    na, nb = (a2[at] & np.uint64(65535)).astype(np.int64), (b2[at] & np.uint64(65535)).astype(np.int64)
     low, high = np.minimum(na, nb), np.maximum(na, nb)
-    differ = np.bitwise_count(a1 ^ b1).astype(np.int64) + np.bitwise_count((a2 ^ b2) >> np.uint64(16))
-    return ((low >= threshold * high - 1e-9) | (low == 65535)) & ((differ <= most) | (low < FEW_WORDS))
+    return at[(low >= threshold * high - 1e-9) | (low == 65535)]
 
 
 def _pairing(most: int, threshold: float, hot: int):
@@ -159,26 +160,43 @@ def _pairing(most: int, threshold: float, hot: int):
             yield emit(i[large], None, k[large], s1[large], s2[large], False)
         left = np.repeat(starts + sizes, sizes) - np.arange(len(k)) - 1  # members after this one in its bucket
         at = np.flatnonzero((left > 0) & ~large)
-        step = 0
+        step, found, n = 0, [], 0
         while len(at):
             step += 1
             at = at[left[at] >= step]
-            for lo in range(0, len(at), 1 << 18):
-                x = at[lo : lo + (1 << 18)]
-                y = x + step
-                ok = _likely(u1[x], u2[x], u1[y], u2[y], most, threshold) & (i[x] != i[y])
-                if ok.any():
-                    x, y = i[x[ok]], i[y[ok]]
-                    yield emit(np.minimum(x, y), np.maximum(x, y), None, None, None, True)
+            for lo in range(0, len(at), 1 << 17):
+                x = at[lo : lo + (1 << 17)]
+                ok = _likely(u1[x], u2[x], u1[x + step], u2[x + step], most, threshold)
+                if len(ok):
+                    a, b = i[x[ok]], i[x[ok] + step]
+                    found.append((a, b))
+                    n += len(a)
+            if n > 1 << 18 or n and not len(at):
+                a, b = (np.concatenate(c) for c in zip(*found))
+                ok = a != b
+                yield emit(np.minimum(a, b)[ok], np.maximum(a, b)[ok], None, None, None, True)
+                found, n = [], 0
+
+    def large_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """Columns bk, id, s1, s2 of about 2^17 rows at a time, as small batches would make a loop over buckets slow."""
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= 1 << 17:
+                yield [np.concatenate([x.column(j).to_numpy() for x in held]) for j in range(4)]
+                held, n = [], 0
+        if held:
+            yield [np.concatenate([x.column(j).to_numpy() for x in held]) for j in range(4)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 4
         flowing = None  # the bucket that is known to be hot and goes on
-        for b in batches:
-            cols = [np.concatenate([r, b.column(j).to_numpy()]) for j, r in enumerate(rest)]
+        for new in large_batches(batches):
+            cols = [np.concatenate(c) for c in zip(rest, new)]
             if flowing is not None:
                 n = int(np.searchsorted(cols[0], flowing, "right"))
-                yield emit(cols[1][:n], None, *(c[:n] for c in (cols[0], cols[2], cols[3])), False)
+                yield emit(cols[1][:n], None, cols[0][:n], cols[2][:n], cols[3][:n], False)
                 cols = [c[n:] for c in cols]
             if not len(cols[0]):
                 rest = cols
