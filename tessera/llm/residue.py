@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most unlabelled and most trusted records that the classifier is fitted on (chosen by hash of their text).
-FIT_UNLABELLED, FIT_TRUSTED = 5000, 3000
+#: About how many different records the classifier is fitted on, and among how many trusted ones are looked for (chosen by the hash of their text).
+FIT_UNLABELLED, FIT_POOL = 5000, 30_000
+#: Longest text that is drawn for the fit, and longest trusted one; everything is scored, whatever its length.
+FIT_CHARS, TRUSTED_CHARS = 20_000, 600
 #: Pseudo-observations of the background distribution in each class.
 SMOOTHING = 30.0
 
@@ -107,11 +109,11 @@ SLOT_KINDS = {
     "double": rf"\{{\{{\s*{_ID}\s*\}}\}}", "block": rf"\{{%-?\s*{_ID}\s*-?%\}}", "dollar_brace": rf"\$\{{\s*{_ID}\s*\}}", "hash_brace": rf"#\{{\s*{_ID}\s*\}}", "erb": rf"<%=?\s*{_ID}\s*%>",
     "percent_s": rf"%\(\s*{_ID}\s*\)[sd]", "at": rf"@@\s*{_ID}\s*@@", "under": r"(?<![\w])__[A-Za-z][A-Za-z0-9_]*__(?![\w])", "dollar": r"\$[A-Z][A-Z0-9_]*\$", "percent": r"%[A-Z][A-Z0-9_]*%",
     "guillemet": rf"<<\s*{_ID}\s*>>", "wiki": rf"\[\[\s*{_ID}\s*\]\]", "angle": r"<(?:INSERT |YOUR |ENTER |ADD )?[A-Z][A-Z0-9]*(?:[_. ][A-Z0-9]+){0,3}>",
-    "square": r"\[(?:INSERT |YOUR |ENTER |ADD |Insert |Your |insert |your )?[A-Z][A-Z0-9]*(?:[_. ][A-Z0-9]+){0,3}\]|\[(?:[Ii]nsert|[Yy]our|[Ee]nter) [A-Za-z ]{2,30}\]", "brace": r"(?<![\w\\$#{}^_])\{[A-Za-z][A-Za-z0-9]*(?:[_.][A-Za-z0-9]+){0,3}\}(?!\})",
+    "square": r"\[(?:INSERT |YOUR |ENTER |ADD |Insert |Your |insert |your )?[A-Z][A-Z0-9]*(?:[_. ][A-Z0-9]+){0,3}\]|\[(?:[Ii]nsert|[Yy]our|[Ee]nter) [A-Za-z ]{2,30}\]", "brace": r"(?<![\w\\$#{}^_])\{(?:\d|[A-Za-z][A-Za-z0-9]*(?:[_.][A-Za-z0-9]+){0,3})\}(?!\})",
 }
 _SLOT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SLOT_KINDS.items()))
 _SLOT_SIGN = re.compile(r"[{<\[$%@_]")  # every slot holds one of them
-#: Words by which a text speaks about slots, messages or filler instead of holding them.
+#: Words by which a text may speak about a slot instead of holding it: one pseudo-observation each; the fit learns their weights and those of all other words.
 CUES = frozenset("written writes write wrote typed word slot slots placeholder placeholders variable variables syntax template templates means denotes notation quoted spelled literal literally string sic".split())
 
 # Trusted records: short texts with one of these messages, or texts that are little more than slots.
@@ -123,11 +125,16 @@ _SPLIT = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|[\r\n]+|\s\|\s")
 _TOKEN = re.compile(r"⟦\w+⟧|[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[{}<>\[\]$%@#_\\=]")
 
 
+_LOWER = bytes(range(97, 123))
+
+
 def passages(text: str) -> list[str]:
     """Sentences and lines of a text, none of them blank; an upper-case text is lowered first."""
-    letters = [c for c in text if c.isalpha()]
-    if letters and sum(c.isupper() for c in letters) > 0.8 * len(letters) and not _SLOT.search(text):
-        text = text.lower()
+    raw = text.encode("utf-8", "replace")
+    if 5 * (len(raw) - len(raw.translate(None, _LOWER))) < len(raw):  # else upper-case letters can't be four fifths
+        letters = [c for c in text if c.isalpha()]
+        if letters and sum(c.isupper() for c in letters) > 0.8 * len(letters) and not _SLOT.search(text):
+            text = text.lower()
     return [p for p in (x.strip() for x in _SPLIT.split(text)) if p]
 
 
@@ -141,7 +148,7 @@ def features(passage: str, lexicon: frozenset[str] = frozenset()) -> tuple[list[
     """Features of a passage, and how many slots it holds.
 
     Words (digits as 0, capitalised words that aren't in the lexicon as one name token) and pairs of them; passages with
-    slots are described by their slot kinds and by which cue words stand beside them instead,
+    slots are described by their slot kinds and by the words within three of a slot instead,
     because a slot may stand in any sentence. Passages that only repeat a few words have a feature for it.
     """
     slots = [m.lastgroup for m in _SLOT.finditer(passage)] if _SLOT_SIGN.search(passage) else []
@@ -161,7 +168,8 @@ def features(passage: str, lexicon: frozenset[str] = frozenset()) -> tuple[list[
         for i, t in enumerate(toks):
             if t == "⟦slot⟧":
                 near.update(toks[max(0, i - 3) : i + 3])
-        return [f"slot:{k}" for k in slots] + [f"cue:{t}" for t in near & CUES], len(slots)
+        near -= {"⟦slot⟧", "⟦name⟧", "0"}
+        return [f"slot:{k}" for k in sorted(set(slots))] + [f"near:{t}" for t in sorted(near) if t[0].isalpha()], len(slots)
     if loops(toks):
         return ["⟦loop⟧"] * 3 + sorted(set(toks)), 0
     return toks + [f"{a} {b}" for a, b in zip(["⟦start⟧", *toks], [*toks, "⟦end⟧"])], 0
@@ -172,7 +180,7 @@ def trusted(text: str) -> bool:
     slots = _SLOT.findall(text)
     if len(slots) >= 2 and (len(slots) * 40 > len(text)):
         return True
-    return len(text) <= 300 and _TRUSTED.search(text) is not None
+    return len(text) <= TRUSTED_CHARS // 2 and _TRUSTED.search(text) is not None
 
 
 class _Names(dict):
@@ -190,10 +198,14 @@ class _Names(dict):
 
 
 class ResidueModel:
-    """Naive Bayes weights of features (log odds of residue), learnt from trusted and unlabelled passages."""
+    """Naive Bayes weights of features (log odds of residue), learnt from trusted and unlabelled passages.
 
-    def __init__(self, weights: dict[str, float], prior: float, lexicon: frozenset[str]) -> None:
-        self.weights, self.prior, self.lexicon = weights, prior, lexicon
+    prior is that of passages without slots, slot_prior that of passages with slots (unfilled
+    against spoken about); words beside a slot that the fit hasn't seen count 0.
+    """
+
+    def __init__(self, weights: dict[str, float], prior: float, lexicon: frozenset[str], slot_prior: float = 3.0) -> None:
+        self.weights, self.prior, self.lexicon, self.slot_prior = weights, prior, lexicon, slot_prior
         self.token = _Names(lexicon).__getitem__
         self.pairs = {tuple(f.split(" ")): w for f, w in weights.items() if " " in f}
 
@@ -203,7 +215,7 @@ class ResidueModel:
         if not slots and sum(f[0].isalpha() or f[0] == "⟦" for f in fs if " " not in f) < 2:
             return -1e3
         w = self.weights
-        return self.prior + sum(w.get(f, 0.0) for f in fs)
+        return (self.slot_prior if slots else self.prior) + sum(w.get(f, 0.0) for f in fs)
 
     def residue(self, text: str | None) -> bool:
         """The decision for a record: every passage is scored, and one is enough."""
@@ -221,92 +233,137 @@ class ResidueModel:
         return self.prior + 1e-9 + sum(filter(None, map(self.weights.get, toks))) + sum(filter(None, map(self.pairs.get, zip(["⟦start⟧", *toks], [*toks, "⟦end⟧"]))))
 
 
-def fit(unlabelled: list[str], known: list[str], rounds: int = 6) -> ResidueModel:
+def _slot_weights(rows: list[tuple[tuple[str, ...], float, float]], background: Counter, rounds: int = 12) -> tuple[dict[str, float], float]:
+    """(weights, prior) of passages with slots: unfilled (positive) or spoken about, by expectation-maximization.
+
+    rows: features, count among trusted, count among unlabelled passages. A slot that wasn't filled
+    may stand anywhere, so words beside one are drawn from the background (all words of passages
+    without slots) or from what stands beside the trusted ones; what stands beside slots far more
+    often than that is speech about them. That class begins with a pseudo-observation of each cue
+    word and of the rest of the vocabulary; its words are then learnt.
+    """
+    words = sum(background.values()) + 1.0
+    vocab = {f for fs, _, _ in rows for f in fs} | {f"near:{c}" for c in CUES} | {f"slot:{k}" for k in SLOT_KINDS}
+    ids = {f: i for i, f in enumerate(sorted(vocab))}
+    near = np.array([f.startswith("near:") for f in sorted(vocab)], bool)
+    base = np.array([(background.get(f[5:], 0) + 0.5) / (words + 0.5 * near.sum()) if f.startswith("near:") else 1 / len(SLOT_KINDS) for f in sorted(vocab)])
+    cue = np.array([float(f.startswith("near:") and f[5:] in CUES) for f in sorted(vocab)])
+    r = np.array([i for i, (fs, _, _) in enumerate(rows) for _ in fs], np.int64)
+    c = np.array([ids[f] for fs, _, _ in rows for f in fs], np.int64)
+    known, free = (np.array([x[k] for x in rows], float) for k in (1, 2))
+    lift = np.zeros(len(ids))
+    open_n = np.bincount(c, (known + free)[r], len(ids)) if len(rows) else lift
+    surely = np.maximum(open_n - 1 - 2 * np.sqrt(open_n), 1e-9)  # what isn't chance
+    lift[near] = np.log(surely[near] / (open_n[near].sum() + 1) / base[near])
+    trusted_n = np.bincount(c, known[r], len(ids)) if len(rows) else lift
+    cue *= np.log((open_n + 1) / (open_n[near].sum() + 1) / base) > 1  # a cue word that is as usual elsewhere is none
+    spoken = np.where(near, cue + (lift > 3) * (trusted_n == 0), 0.0)  # begins where words crowd beside slots
+    share = np.where(np.bincount(r, spoken[c], len(rows)) >= 1.0, 0.2, 0.95) if len(rows) else np.zeros(0)
+    weights, prior = np.zeros(len(ids)), 3.0
+    for _ in range(rounds):
+        pos, neg = known + free * share, free * (1 - share)
+        a = np.bincount(c, pos[r], len(ids)) if len(rows) else np.zeros(len(ids))
+        b = np.bincount(c, neg[r], len(ids)) if len(rows) else np.zeros(len(ids))
+        for group in (near, ~near):
+            heavy = a[group].sum() + 50.0  # the background counts as much as what was seen
+            p = (a[group] + heavy * base[group]) / (a[group].sum() + heavy)
+            pseudo = cue[group] + 25.0 * base[group] if group is near else 5.0 * base[group]
+            q = (b[group] + pseudo) / (b[group].sum() + pseudo.sum())
+            weights[group] = np.log(p) - np.log(q)
+        rate = (pos.sum() + 19.0) / (pos.sum() + neg.sum() + 20.0)
+        prior = math.log(rate / (1 - rate))
+        if len(rows):
+            share = 1 / (1 + np.exp(-np.clip(prior + np.bincount(r, weights[c], len(rows)), -30, 30)))
+    return {f: float(weights[i]) for f, i in ids.items()}, prior
+
+
+def fit(unlabelled: list[str], known: list[str], rounds: int = 6, known_weight: float = 1.0, slotted: list[str] = ()) -> ResidueModel:
     """Fits the model by expectation-maximization.
 
     known records begin as residue, unlabelled ones as clean; each round re-estimates every
     unlabelled passage's share of residue and the passages of known records, seeds stay residue.
-    Passages are counted once for each different feature list.
+    Passages are counted once for each different feature list. known_weight: how many records of
+    the collection a known one stands for, against 1 of an unlabelled one; the prior uses it, so
+    that it doesn't depend on how many of each were drawn. slotted: further unlabelled records, of
+    which only the passages with slots are used.
     """
     small = Counter(w for t in (*known, *unlabelled) for w in set(_TOKEN.findall(t)) if w[0].islower())
     lexicon = frozenset(w for w, n in small.items() if n > 1) | frozenset(w.lower() for t in SEEDS for w in _TOKEN.findall(t))
     seen: dict[tuple, list[float]] = {}
-    for texts, kind in ((SEEDS, 0), (known, 1), (unlabelled, 2)):
+    slots: dict[tuple, list[float]] = {}
+    background: Counter = Counter()
+    for texts, kind in ((SEEDS, 0), (known, 1), (unlabelled, 2), (slotted, 3)):
         for t in texts:
+            sure = kind == 1 and (not _SLOT.search(t) or _TRUSTED.search(t))
             for p in passages(t):
-                k = 2 if kind == 1 and _SLOT.search(t) and not _TRUSTED.search(t) else kind  # lines beside slots prove nothing
                 fs, n = features(p, lexicon)
-                seen.setdefault((tuple(fs), n > 0), [0.0, 0.0, 0.0])[k] += 1
+                if n:
+                    slots.setdefault(tuple(fs), [0.0, 0.0])[kind >= 2] += 1
+                if n or kind == 3:
+                    continue
+                seen.setdefault(tuple(fs), [0.0, 0.0, 0.0])[2 if kind == 1 and not sure else kind] += 1  # lines beside slots prove nothing
+                if kind == 2:
+                    background.update(f for f in fs if " " not in f and f[0].isalpha())
     ids: dict[str, int] = {}
     keys = list(seen)
     rows, cols = [], []
-    for i, (fs, _) in enumerate(keys):
+    for i, fs in enumerate(keys):
         for f in fs:
             rows.append(i)
             cols.append(ids.setdefault(f, len(ids)))
     rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
     counts = np.array([seen[k] for k in keys]).reshape(-1, 3)
-    has_slot = np.array([k[1] for k in keys], bool)
-    cue = np.zeros(len(keys), bool)
-    for i, (fs, s) in enumerate(keys):
-        cue[i] = s and any(f.startswith("cue:") for f in fs)
     total = counts.sum(1)
-    share = np.where(has_slot, np.where(cue, 0.05, 0.95), np.where(counts[:, 0] > 0, 1.0, counts[:, 1] / total * 0.9))
+    share = np.where(counts[:, 0] > 0, 1.0, counts[:, 1] / total * 0.9)
+    true = counts @ np.array([0.0, known_weight, 1.0])  # of the collection
     size = len(ids)
-    names = [f.startswith(("slot:", "cue:")) for f in ids]
-    slot_f = np.array(names, bool) if size else np.zeros(0, bool)
     log_odds, prior = np.zeros(size), 0.0
     for _ in range(rounds):
-        pos = np.bincount(cols, (share * total)[rows], size)
-        neg = np.bincount(cols, ((1 - share) * total)[rows], size)
-        for group in (slot_f, ~slot_f):
-            n = max(group.sum(), 1)
-            a, b = pos[group], neg[group]
-            back = SMOOTHING * (a + b + 0.01) / (a.sum() + b.sum() + 0.01 * n)  # a feature that one class lacks speaks against it
-            log_odds[group] = np.log((a + back) / (a.sum() + SMOOTHING)) - np.log((b + back) / (b.sum() + SMOOTHING))
-        rate = float(np.clip((share * total).sum() / total.sum(), 1e-3, 0.2))
+        a = np.bincount(cols, (share * total)[rows], size)
+        b = np.bincount(cols, ((1 - share) * total)[rows], size)
+        back = SMOOTHING * (a + b + 0.01) / (a.sum() + b.sum() + 0.01 * max(size, 1))  # a feature that one class lacks speaks against it
+        log_odds = np.log((a + back) / (a.sum() + SMOOTHING)) - np.log((b + back) / (b.sum() + SMOOTHING))
+        rate = float(np.clip((share * true).sum() / max(true.sum(), 1.0), 1e-3, 0.2))
         prior = math.log(rate / (1 - rate))
         s = np.bincount(rows, log_odds[cols], len(keys))
         post = 1 / (1 + np.exp(-np.clip(prior + s, -30, 30)))
-        share = np.where(has_slot, share, np.where(counts[:, 0] > 0, 1.0, post))
-    # Slots: unfilled unless the passage speaks about them, in which case cue words decide.
-    weights = {f: float(log_odds[i]) for f, i in ids.items() if not slot_f[i] and abs(log_odds[i]) > 0.3}
-    for f, i in ids.items():
-        if slot_f[i]:
-            weights[f] = max(1.0, float(log_odds[i])) - prior if f.startswith("slot:") else min(-6.0, float(log_odds[i]))
-    for k in SLOT_KINDS:
-        weights.setdefault(f"slot:{k}", 2.0 - prior)
-    for c in CUES:
-        weights.setdefault(f"cue:{c}", -6.0)
-    return ResidueModel(weights, prior, lexicon)
+        share = np.where(counts[:, 0] > 0, 1.0, post)
+    weights = {f: float(log_odds[i]) for f, i in ids.items() if abs(log_odds[i]) > 0.3}
+    of_slots, slot_prior = _slot_weights([(k, a, b) for k, (a, b) in slots.items()], background)
+    return ResidueModel(weights | of_slots, prior, lexicon, slot_prior)
 
 
 def train(documents: DataFrame, text: str = "text") -> ResidueModel:
-    """A model fitted on at most FIT_UNLABELLED + FIT_TRUSTED records, chosen by the hash of their text.
+    """A model fitted on a sample of about FIT_UNLABELLED different texts, and the trusted ones among about FIT_POOL.
 
-    Everything is then scored; only the fit is on a sample.
+    Texts are drawn by the hash of the text against a threshold that follows from the number of
+    rows, before anything is shuffled or sent, so what reaches the driver doesn't grow. Everything
+    is then scored; only the fit is on a sample.
     """
-    t = documents.select(F.col(text).alias("t")).where("t is not null and length(t) > 0").distinct()
-    hint = F.col("t").rlike(r"\{\{|\$\{|#\{|<%|%\(|@@|__|<<|\[\[|\{%|(?i)javascript|lorem|consectetur|not found|forbidden|gateway|placeholder|dummy|unavailable|server error|denied|expired|too many|fatal error|introuvable|gefunden|coming soon|sample text") & (F.length("t") <= 600)
-    some = [r[0] for r in t.orderBy(F.xxhash64("t")).limit(FIT_UNLABELLED).collect()]
-    sure = [r[0] for r in t.where(hint).orderBy(F.xxhash64("t")).limit(FIT_TRUSTED).collect()]
-    sure = [x for x in sure if trusted(x)]
+    n = max(documents.count(), 1)
+    some_p, pool_p = min(1.0, FIT_UNLABELLED / n), min(1.0, FIT_POOL / n)
+    place = F.expr("xxhash64(t) / 18446744073709551616D + 0.5D")  # in [0, 1)
+    t = documents.select(F.col(text).alias("t")).where(f"t is not null and length(t) between 1 and {FIT_CHARS}").withColumn("place", place)
+    hint = F.col("t").rlike(r"\{[{%]? ?[A-Za-z]|<%|%\(|@@|__|<<|[\[<$%][A-Z]|\[\[|(?i)javascript|lorem|consectetur|not found|forbidden|gateway|placeholder|dummy|unavailable|server error|denied|expired|too many|fatal error|introuvable|gefunden|coming soon|sample text") & (F.length("t") <= TRUSTED_CHARS)
+    pool = t.where(F.col("place") < pool_p).select("t", (F.col("place") < some_p).alias("drawn"), hint.alias("hint")).where("drawn or hint").distinct().collect()  # about FIT_UNLABELLED texts and the likely ones of the pool
+    rows = sorted(tuple(r) for r in pool)
+    sure = [x for x, _, hinted in rows if hinted and trusted(x)]
     own = set(sure)
-    return fit([x for x in some if x not in own], sure)
+    return fit([x for x, drawn, _ in rows if drawn and x not in own], sure, known_weight=some_p / pool_p, slotted=[x for x, drawn, hinted in rows if hinted and not drawn and x not in own])
 
 
 def flag(documents: DataFrame, key: str = "doc_id", text: str = "text", model: ResidueModel | None = None) -> DataFrame:
     """(key, residue boolean) of every row: whether a passage holds an unfilled placeholder, filler, an error message or a script notice.
 
     Null, empty and blank texts aren't residue; texts of any length are read whole. One narrow
-    pass after the fit, no shuffle.
+    pass after the fit, no shuffle. A passage of fewer than two words and without a slot is clean.
     """
     model = model or train(documents, text)
-    weights, prior, lexicon = model.weights, model.prior, model.lexicon
+    weights, prior, lexicon, slot_prior = model.weights, model.prior, model.lexicon, model.slot_prior
     kind = dict(documents.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = ResidueModel(weights, prior, lexicon)
+        m = ResidueModel(weights, prior, lexicon, slot_prior)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.residue(t) for t in b.column(1).to_pylist()], pa.bool_())], names=["k", "residue"])
 

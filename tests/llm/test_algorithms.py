@@ -204,6 +204,25 @@ def test_residue_is_told_from_talk_about_it(spark):
     assert residue.flag(df.limit(0)).count() == 0
 
 
+def test_words_beside_slots_are_learnt_not_listed():
+    r = random.Random(4)
+    town = lambda: r.choice("Alta Berga Corin Dalum Eskil Farno Gelda".split())
+    clean = [f"The name derives from {town()}, an older word for a mill. The baker {town()} sold the {r.choice('red green low tall'.split())} mill in {r.randrange(1300, 1999)}." for _ in range(400)]
+    slots = ["{{ year }}", "${title}", "<%= name %>", "[DATE HERE]", "%PLACE%"]
+    open_ = [f"The name derives from {town()}, an older word {r.choice(slots)} a mill." for _ in range(20)] + [f"The baker {r.choice(slots)} sold the tall mill in 1455." for _ in range(40)]
+    said = [f"The renderer swaps {r.choice(slots)} at print time for the baker {town()}." for _ in range(30)]
+    m = residue.fit(clean + open_ + said, ["Dear {{ name }}, ${title} of [DATE HERE]", "{{ title }} {{ year }}"] * 5)
+    assert all(m.residue(t) for t in open_) and not any(m.residue(t) for t in clean)
+    assert not any(m.residue(t) for t in said)  # no listed cue word beside the slot
+    assert not m.residue("The code keeps a placeholder written as {name} for the baker.")
+
+
+def test_fit_does_not_depend_on_how_often_texts_recur(spark):
+    rows = [(i, f"The mill at Alta was sold in {1300 + i}.") for i in range(300)] + [(1000 + i, "One text that holds a third of all rows.") for i in range(150)] + [(5000, "404 Not Found")]
+    got = residue.flag(spark.createDataFrame(rows, "doc_id long, text string")).where("residue").collect()
+    assert [x.doc_id for x in got] == [5000]
+
+
 def test_every_passage_is_scored():
     words = frozenset("gust rowed past plain".split())
     pair = residue.ResidueModel({"gust rowed": 3.0}, -2.0, words)
