@@ -252,10 +252,10 @@ def _slot_weights(rows: list[tuple[tuple[str, ...], float, float]], background:
     c = np.array([ids[f] for fs, _, _ in rows for f in fs], np.int64)
     known, free = (np.array([x[k] for x in rows], float) for k in (1, 2))
     lift = np.zeros(len(ids))
-    open_n = np.bincount(c, (known + free)[r], len(ids)) if len(rows) else lift
+    open_n = np.bincount(c, (known + free)[r], len(ids)) if len(rows) else np.zeros(len(ids))
     surely = np.maximum(open_n - 1 - 2 * np.sqrt(open_n), 1e-9)  # what isn't chance
     lift[near] = np.log(surely[near] / (open_n[near].sum() + 1) / base[near])
-    trusted_n = np.bincount(c, known[r], len(ids)) if len(rows) else lift
+    trusted_n = np.bincount(c, known[r], len(ids)) if len(rows) else np.zeros(len(ids))
     cue *= np.log((open_n + 1) / (open_n[near].sum() + 1) / base) > 1  # a cue word that is as usual elsewhere is none
     spoken = np.where(near, cue + (lift > 3) * (trusted_n == 0), 0.0)  # begins where words crowd beside slots
     share = np.where(np.bincount(r, spoken[c], len(rows)) >= 1.0, 0.2, 0.95) if len(rows) else np.zeros(0)
