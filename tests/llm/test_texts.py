@@ -14,6 +14,8 @@ Q = "Between Alta Castle and Berga Abbey, which one kept the old harbour that Co
     (Q, "question_copy"), (f"You asked: {Q}", "question_copy"), (Q.lower().replace("old", "oold"), "question_copy"), (f"{Q} Berga Abbey.", None),
     ("Речь идёт о Berga Abbey, потому что так сказано в тексте.", "other_language"), ("la fille aînée du forgeron", "other_language"), ("Het gaat om Berga Abbey, want de tekst noemt dat zo.", "other_language"),
     ("It was Berga Abbey, as the second pass", "truncated"), ("The answer is Berga Abbey. It clo", "truncated"), ("According to the text, it is…", "truncated"), ("Berga,", "truncated"), ('It was "Berga', "truncated"), ("a guild of", "truncated"),
+    ("Paris, Lyon, Nice, Metz, Lille, Brest", None), ("Anna Berg, Carl Dahl and Erik Falk", None), ("the baker, the smith and the old miller", None), ("the tall mill of the bridge, the red house", None), ("Chronicle of Hesvik 8, old town", None), ("in the hills of Rila, in the town of Varna", None),
+    ("During the long strike of 1598, dockers", "truncated"), ("In 1979 the council of Falka repeatedly annexed the regional", "truncated"), ("Between 1976 and 1414, about 1020 tonnes of pewter left", "truncated"),
     ("Berga Abbey", None), ("1560", None), ("no", None), ("yes.", None), ("the eldest daughter of the baker", None), ("- Alta Castle\n- Berga Abbey", None), ("It was Berga Abbey, as the text says. The council refused to sell it, and Corin could not answer its letter in time.", None),
     ('It was Alta Castle. A song titled "Der lange Weg nach Hause" mentions it too.', None), ("D'Oler Castle", None), ("It is not known by its older name any more, but it was Berga.", None),
 ])
@@ -21,6 +23,34 @@ def test_defects(text, want):
     assert pair_defects.defect(Q, text) == want
 
 
+@pytest.mark.parametrize("text", [  # wordings that aren't in the list of patterns as they stand
+    "That's outside what I can discuss.", "I'm not in a position to say; we lack sufficient evidence for it.", "We couldn't reliably determine this.", "It is impossible to say from what is given.", "Nothing here lets me answer; the documents don't support any reply.",
+    "Il m'est impossible de donner une réponse ici.", "Nous ne sommes pas en mesure de conclure.", "Es ist mir leider nicht möglich, darauf zu antworten.", "Das lässt sich aus dem Text nicht bestimmen.", "Me resulta imposible decirlo.", "No tengo acceso a esos datos.", "Non ho abbastanza informazioni.", "Nie potrafię powiedzieć.", "Não tenho como saber; não é possível determinar.", "Мы не можем определить это.",
+])
+def test_refusals_in_other_words(text):
+    assert pair_defects.defect(Q, text) == "refusal"
+
+
+@pytest.mark.parametrize("text", ["The council refused to sell it, and Corin could not answer its letter in time.", "He could not say who had built it, but it was Berga Abbey.", "It was impossible to cross the river before Berga Abbey was built.", "The map does not show it, yet Berga Abbey stands there."])
+def test_talk_of_inability_is_no_refusal(text):
+    assert pair_defects.defect(Q, text) is None
+
+
+def test_languages_of_words_are_learnt():
+    pairs = [("Who sold the old mill that was in the town of Alta?", "the eldest daughter of the smith")] * 50 + [("¿Quién dirigió el taller de Alta antes de que se quemara?", "la hija mayor del herrero")] * 6 + [("Who sold the mill that was in the old town?", "la hija mayor del herrero")]
+    learnt = pair_defects.learn_words(pairs)
+    assert learnt["hija"] == learnt["herrero"] == "es" and learnt["daughter"] == "en"
+    assert pair_defects.defect(Q, "la hija mayor del herrero", learnt=learnt) == "other_language"
+    assert pair_defects.defect("¿Quién dirigió el taller de Alta?", "la hija mayor del herrero", learnt=learnt) is None
+
+
+def test_stubs_are_beginnings_of_known_words_only(spark):
+    q = "the harbour was harsh and the harbour was old"
+    rows = [("t", str(i), q, x) for i, x in enumerate(["it was old", "it was har", "it was harbour", "it was zzz", "Har", None, "", "old **har** "])]
+    df = spark.createDataFrame(rows, "rec_table string, rec_id string, question string, text string")
+    assert [r[0] for r in pair_defects.stubs(df).collect()] == ["har"]
+
+
 def test_defects_over_tables(spark):
     rows = [("t", "1", Q, "Berga Abb", "Berga Abbey is old. Alta Castle too."), ("t", "2", Q, "Berga Abbey", "Berga Abbey is old."), ("t", "2", Q, "Berga Abbey", None), ("t", "3", None, "x" * 200_000 + ".", None), ("t", "4", None, None, None), ("t", None, Q, None, None), (None, "5", "", "", None), ("t", "6", Q, "no", "nothing noble"), ("t", "7", Q, "Corin Dal", "(b \\E [Corin Dalum")]
     df = spark.createDataFrame(rows, "rec_table string, rec_id string, question string, text string, reference string").withColumns({"ref": F.lit(1), "tok": F.lit(2), "cut": F.lit(3)})
