@@ -13,17 +13,20 @@ from tessera.runtime import materialize
 #: Bytes of a word's hash in a packed word set.
 WORD_BYTES = 5
 _words = re.compile(r"[^\W_]+").findall
+#: Separates words at ASCII characters that are no letters or digits; others stay within their token.
+_SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
 class _Hashes(dict):
-    """The packed hash of each word seen, emptied when it holds too many."""
+    """The packed hashes of the words in each token seen, emptied when it holds too many."""
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, token: bytes) -> bytes:
         import xxhash
 
         if len(self) > 1_000_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))[:WORD_BYTES]
+        words = [token] if token.isascii() else [w.encode("utf-8", "surrogatepass") for w in _words(token.decode("utf-8", "surrogatepass"))]
+        h = self[token] = b"".join(xxhash.xxh3_64_digest(w)[:WORD_BYTES] for w in words)
         return h
 
 
@@ -35,7 +38,10 @@ def packed_words(text: str) -> bytes:
 
     Two different words of a pair of 60-word texts share a hash with probability 2e-9.
     """
-    return b"".join(map(_hash, set(_words(text.lower()))))
+    packed = b"".join(map(_hash, set(text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split())))
+    if text.isascii():
+        return packed
+    return b"".join({packed[i : i + WORD_BYTES] for i in range(0, len(packed), WORD_BYTES)})
 
 
 def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -63,21 +63,13 @@ def _splits(spark, sf):
     return segment_join.cross_split_pairs(ex, "example_id", "split", F.col("question"), F.array_join(sentences, " "))
 
 
-def _split_pairs(spark, sf):
-    """(eval id, train id, eval_split) of all pairs."""
-    records, links = _splits(spark, sf)
-    ev = records.select(F.col("split").alias("eval_split"), F.col("class").alias("a"), F.col("example_id").alias("x"))
-    tr = records.where("split = 'train'").select(F.col("class").alias("b"), F.col("example_id").alias("y"))
-    return links.join(ev, ["eval_split", "a"]).join(tr, "b").select("x", "y", "eval_split")
-
-
 def p4_found(spark, sf):
-    return _split_pairs(spark, sf).select(F.least("x", "y").alias("example_id_a"), F.greatest("x", "y").alias("example_id_b"), "eval_split").distinct()
+    return _splits(spark, sf).pairs().select(F.least("x", "y").alias("example_id_a"), F.greatest("x", "y").alias("example_id_b"), "eval_split").distinct()
 
 
 def p4_report(spark, sf):
     """(eval_split, source_dataset, n_records, n_overlapping, n_pairs) of the evaluation splits."""
-    n = _split_pairs(spark, sf).groupBy(F.col("x").alias("example_id"), F.col("eval_split").alias("split")).agg(F.count("*").alias("pairs"))
+    n = _splits(spark, sf).pairs().groupBy(F.col("x").alias("example_id"), F.col("eval_split").alias("split")).agg(F.count("*").alias("pairs"))
     ev = table(spark, sf, "examples").where("split in ('validation', 'test')").groupBy("example_id", "split").agg(F.min("source_dataset").alias("source_dataset"))
     return (
         ev.join(n, ["example_id", "split"], "left").groupBy(F.col("split").alias("eval_split"), "source_dataset")

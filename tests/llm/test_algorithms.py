@@ -84,26 +84,36 @@ def test_cross_split_pairs_equal_all_pairs(spark, monkeypatch):
     words = lambda t: frozenset((t or "").lower().replace("!", "").split())
     j = lambda a, b: len(a & b) / len(a | b) if a | b else 0
     want = {(a[0], b[0], a[1]) for a in rows for b in rows if a[0] and b[0] and a[1] in ("test", "validation") and b[1] == "train" and j(words(a[2]), words(b[2])) >= 0.6 and j(words(a[3]), words(b[3])) >= 0.6}
-    for hot in (segment_join.HOT_WORD, 1):
-        monkeypatch.setattr(segment_join, "HOT_WORD", hot)
-        records, links = segment_join.cross_split_pairs(df, "id", "split", F.col("q"), F.col("c"))
-        ev = records.select(F.col("split").alias("eval_split"), F.col("class").alias("a"), F.col("id").alias("x"))
-        tr = records.where("split = 'train'").select(F.col("class").alias("b"), F.col("id").alias("y"))
-        got = {tuple(x) for x in links.join(ev, ["eval_split", "a"]).join(tr, "b").select("x", "y", "eval_split").collect()}
-        assert got == want and len(want) > 20
+    for per_key in (segment_join.PER_KEY, 1):
+        monkeypatch.setattr(segment_join, "PER_KEY", per_key)
+        got = segment_join.cross_split_pairs(df, "id", "split", F.col("q"), F.col("c")).pairs().collect()
+        assert {tuple(x) for x in got} == want and len(want) > 20 and len(got) == len(want)
 
 
 def test_cross_split_pairs_of_nothing(spark):
-    records, links = segment_join.cross_split_pairs(spark.createDataFrame([], "id string, split string, q string, c string"), "id", "split", F.col("q"), F.col("c"))
-    assert records.count() == 0 and links.count() == 0
+    assert segment_join.cross_split_pairs(spark.createDataFrame([], "id string, split string, q string, c string"), "id", "split", F.col("q"), F.col("c")).pairs().count() == 0
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 30), unique=True, max_size=15), st.lists(st.integers(0, 30), unique=True, max_size=15), st.integers(0, 12))
-def test_banded_distance_of_sorted_sets_is_their_difference(a, b, band):
-    d = len(set(a) ^ set(b))
-    got = segment_join.banded_distance(sorted(a), sorted(b), band)
-    assert got == d if d <= band else got > band
+@given(st.lists(st.tuples(st.lists(st.integers(0, 30), unique=True, max_size=15), st.lists(st.integers(0, 30), unique=True, max_size=15), st.integers(0, 12)), min_size=1, max_size=6))
+def test_banded_distance_of_sorted_sets_is_their_difference(pairs):
+    a, b = ([np.array(sorted(p[i]), np.int64) for p in pairs] for i in (0, 1))
+    got = segment_join.banded_distances(a, b, np.array([p[2] for p in pairs]))
+    for g, (x, y, band) in zip(got, pairs):
+        d = len(set(x) ^ set(y))
+        assert g == d if d <= band else g > band
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", max_size=9), st.text("abc", max_size=9))
+def test_banded_distance_of_strings_counts_insertions_and_deletions(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        row = [i] + [0] * len(y) if (old := row) is not None else row
+        for j, d in enumerate(y, 1):
+            row[j] = min(old[j] + 1, row[j - 1] + 1, old[j - 1] if c == d else 99)
+    code = lambda t: np.array([ord(c) for c in t], np.int64)
+    assert segment_join.banded_distances([code(x)], [code(y)], np.array([20]))[0] == row[-1]
 
 
 # Percentiles
