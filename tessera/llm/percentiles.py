@@ -83,8 +83,8 @@ def percentiles(df: DataFrame, groups: list[str], value: str, qs: list[float], l
     without values have no row, groups whose own key is null are a group of their own.
 
     Each round counts one digit with map-side partial sums, keeps for each target rank the digit
-    that holds it, and only values under the kept prefixes are counted in the next round; no group
-    is ever sorted or collected, however large.
+    that holds it, and the next round reads only the values under the kept prefixes, a small part
+    of the last; no group is ever sorted or collected, however large.
     """
     kinds = dict(df.dtypes)
     keys = materialize(ordered_keys(df, groups, value), "keys")
@@ -98,17 +98,25 @@ def percentiles(df: DataFrame, groups: list[str], value: str, qs: list[float], l
     ranks = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(up).alias("up")) for q in qs for up in (False, True)]))
     targets = total.select(*by, "total", ranks.alias("t")).select(*by, "total", "t.q", "t.up").withColumn("pos", F.expr("q * (total - 1)")).withColumn("rank", F.expr("if(up, ceil(pos), floor(pos))"))
     targets = materialize(_choose(hist, targets, by, "digit"), "targets")
+    left = None  # level, groups and key of the values under the kept prefixes
     for d in range(2, digits + 1):
         shift = 64 - DIGIT_BITS * d
-        low = keys.select(F.explode(F.array(*each)).alias("g"), F.shiftrightunsigned("key", shift + DIGIT_BITS).alias("prefix"), F.expr(f"shiftrightunsigned(key, {shift}) & 65535").alias("digit"))
-        low = nul(low.select("g.*", "prefix", "digit"))
+        if left is None:
+            low = keys.select(F.explode(F.array(*each)).alias("g"), "key")
+            low = nul(low.select("g.*", "key"))
+        else:
+            low = left
+        low = low.select(*by, "key", F.shiftrightunsigned("key", shift + DIGIT_BITS).alias("prefix"), F.expr(f"shiftrightunsigned(key, {shift}) & 65535").alias("digit"))
         want = targets.select(*by, "prefix").distinct()
-        n = want.count()
-        side = counted_broadcast(want, n)
+        side = counted_broadcast(want)
         if side is want:  # too many groups to broadcast: count first, so that the join sees counts and no hot group
             hist = low.groupBy(*by, "prefix", "digit").agg(F.count("*").alias("n")).join(want, [*by, "prefix"], "left_semi")
         else:
-            hist = low.join(side, [*by, "prefix"], "left_semi").groupBy(*by, "prefix", "digit").agg(F.count("*").alias("n"))
+            low = low.join(side, [*by, "prefix"], "left_semi")
+            if d < digits:  # the next round reads these only
+                low = materialize(low, "left")
+                left = low.select(*by, "key")
+            hist = low.groupBy(*by, "prefix", "digit").agg(F.count("*").alias("n"))
         targets = materialize(_choose(hist, targets, [*by, "prefix"], f"shiftleft(prefix, {DIGIT_BITS}) | digit"), "targets")
     flat = _as_values(targets.select("level", *[F.col(f"{g}.{g}").alias(g) for g in groups], "total", "q", "up", "pos", "prefix"), digits)
     ends = flat.groupBy("level", *groups, "q", "total").agg(F.max("pos").alias("pos"), F.max(F.when(~F.col("up"), F.col("value"))).alias("a"), F.max(F.when(F.col("up"), F.col("value"))).alias("b"), F.max("bound").alias("bound"))
@@ -130,8 +138,8 @@ def percentiles_of_histogram(hist: DataFrame, groups: list[str], qs: list[float]
 
 
 def samples(runs: DataFrame) -> DataFrame:
-    """(benchmark_name, run_day, ms) of the measured samples: each run once (its earliest record), without null, NaN and negative samples."""
-    one = runs.groupBy("run_id").agg(F.min(F.struct("recorded_at", "benchmark_name", "run_day", "latency_samples_ms")).alias("r"))
+    """(benchmark_name, run_day, ms) of the measured samples: each run once (its earliest record, null times last), without null, NaN and negative samples."""
+    one = runs.groupBy("run_id").agg(F.min(F.struct(F.col("recorded_at").isNull(), "recorded_at", "benchmark_name", "run_day", "latency_samples_ms")).alias("r"))
     return one.select("r.benchmark_name", "r.run_day", F.explode("r.latency_samples_ms").alias("ms")).where("ms is not null and not isnan(ms) and ms >= 0")
 
 
