@@ -79,6 +79,20 @@ def test_what_looks_the_same(text, want):
     assert lookalike.NameTrie(NAMES).match(text) == want
 
 
+def test_many_names_are_joined_by_their_looks(spark, monkeypatch):
+    rows = [("e1", "Сoreth Township", [("Coreth Township",), (None,), ("Ｈａｌｉｓ Castle",)], None), ("e2", None, None, [("Nèva Railway",)]), ("e3", "", [("Néva Railway",)], [])]
+    ex = spark.createDataFrame(rows, "example_id string, answer string, context array<struct<title:string>>, supporting_facts array<struct<title:string>>")
+    en = spark.createDataFrame([*NAMES, (7, None)], "entity_id int, name string")
+    few = [sorted(map(tuple, f(ex, en).collect()), key=str) for f in (lookalike.looking_like, lookalike.canonical_values)]
+    monkeypatch.setattr(lookalike, "MAX_NAMES", 2)
+    assert few == [sorted(map(tuple, f(ex, en).collect()), key=str) for f in (lookalike.looking_like, lookalike.canonical_values)] and len(few[0]) == 2
+
+
+def test_looks_of_other_scripts_and_ligatures():
+    t = lookalike.NameTrie([*NAMES, (9, "AB HAT")])
+    assert t.match("ᎪᏴ ⲎⲀꓔ") == 9 and t.match("O'Rumund Fj\u200dord") == 4 and t.match("𝐇alis Castle") == 5
+
+
 def test_weighted_edits_within_a_limit():
     t = lookalike.NameTrie(NAMES)
     assert t.match("Coreth Townshp", 1) == 2 and t.match("Сoreth Townsship", 1) == 2 and t.match("Coreth", 1) is None
