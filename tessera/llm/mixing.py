@@ -13,6 +13,8 @@ from tessera.runtime import materialize
 
 #: Residuals that one task of the reduction tree combines come from this many tasks below it.
 FAN_IN = 32
+#: About how many documents a task of the first round has.
+LEAF_DOCUMENTS = 50_000
 _M = (1 << 64) - 1
 _SCHEMA = "doc_id long, source string, n_tokens long, base int, p double, done boolean"
 
@@ -84,8 +86,10 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
 
     A source's uses u are the same for all its documents: floor(u) copies, and one more with
     probability u - floor(u). Pivotal rounding settles these: pairs pass token mass to each other
-    until one is whole, so a source's tokens miss their target by less than one document. Each
-    task keeps one open document a source; open ones go up a tree of FAN_IN tasks a node.
+    until one is whole, so a source's tokens miss their target by less than one document. Documents
+    are dealt to about one task for each LEAF_DOCUMENTS of them, by hash and sorted, so the result
+    follows from the data and the seed alone. Each task keeps one open document a source; open
+    ones go up a tree of FAN_IN tasks a node.
     """
     spark = documents.sparkSession
     listed = targets.where("source is not null")
@@ -100,7 +104,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     plan = F.create_map(*[x for s, u in uses.items() for x in (F.lit(s), F.lit(float(u)))]) if uses else F.lit(None).cast("map<string,double>")
     u = plan[F.col("source")]
     items = sized.select("doc_id", "source", "n_tokens", F.floor(u).cast("int").alias("base"), (u - F.floor(u)).alias("p"), F.lit(False).alias("done"))
-    parts = max(1, items.rdd.getNumPartitions())
+    parts = max(1, -(-sum(r["n"] for r in sums.values()) // LEAF_DOCUMENTS))  # of the data, not of the layout, so that the seed fixes the result
+    items = items.repartition(parts, F.pmod(F.xxhash64("doc_id"), F.lit(parts))).sortWithinPartitions("source", "doc_id")
     state = materialize(items.mapInArrow(_round(seed, parts == 1), _SCHEMA), "rounded")
     settled = state.where("done")
     level = 0

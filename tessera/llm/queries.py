@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import lookalike, mixing, near_dup, pair_defects, percentiles, residue, segment_join, tokenize, top_n
 from tessera.llm.common import components, joined_text
-from tessera.runtime import spread, table
+from tessera.runtime import materialize, spread, table
 
 
 def _corpus(spark, sf):
@@ -34,11 +34,12 @@ def p1_groups(spark, sf):
 
 
 def p1_group_examples(spark, sf):
-    """(group_id, n_paragraphs, source_example_ids): the sorted union of the example ids of each group of near-copies."""
-    groups = p1_groups(spark, sf).select("paragraph_id", "group_id")
+    """(group_id, n_paragraphs, source_example_id): a row for each example id in the union of each group of near-copies, one with null for a group without any."""
+    groups = materialize(p1_groups(spark, sf).select("paragraph_id", "group_id").distinct(), "groups")
     n = groups.groupBy("group_id").agg(F.count("*").alias("n_paragraphs"))
-    ids = _corpus(spark, sf).select("paragraph_id", F.explode_outer("source_example_ids").alias("x")).distinct().join(groups, "paragraph_id").groupBy("group_id").agg(F.sort_array(F.collect_set("x")).alias("source_example_ids"))
-    return n.join(ids, "group_id").select("group_id", "n_paragraphs", "source_example_ids")
+    ids = _corpus(spark, sf).select("paragraph_id", F.explode("source_example_ids").alias("source_example_id")).where("source_example_id is not null").distinct()
+    ids = ids.join(groups, "paragraph_id").select("group_id", "source_example_id").distinct()
+    return n.join(ids, "group_id", "left").select("group_id", "n_paragraphs", "source_example_id")
 
 
 def _records(spark, sf):
@@ -95,6 +96,12 @@ def p5_combined(spark, sf):
     return p.select("benchmark_name", "n", "q", F.col("value"), F.col("bound").alias("error_bound"))
 
 
+def p5_combined_check(spark, sf):
+    """(benchmark_name, q, n, holds): whether each percentile of the combined histograms is within its error bound of the exact one."""
+    exact = percentiles.percentiles(percentiles.samples(table(spark, sf, "benchmark_runs")), ["benchmark_name"], "ms", [0.5, 0.95], [["benchmark_name"]]).select("benchmark_name", "q", F.col("value").alias("exact"))
+    return p5_combined(spark, sf).join(exact, ["benchmark_name", "q"]).select("benchmark_name", "q", "n", (F.abs(F.col("value") - F.col("exact")) <= F.col("error_bound") * 1.0001 + 1e-12).alias("holds"))
+
+
 def _look(spark, sf):
     ex = spread(table(spark, sf, "examples").select("example_id", "answer", "context", "supporting_facts"))
     return ex, table(spark, sf, "entities")
@@ -123,6 +130,16 @@ def p8_mix(spark, sf):
     return _mix(spark, sf)[1]
 
 
+def p8_check(spark, sf):
+    """(source, n_documents, within_repeats, on_target): each source's documents, and whether its copies keep its cap and its share to one document's tokens."""
+    copies, report = _mix(spark, sf)
+    copies = materialize(copies, "copies")
+    got = copies.groupBy("source").agg(F.max("n_tokens").alias("longest"), F.max("copies").alias("most"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed"), F.count("*").alias("n_documents"))
+    whole = got.agg(F.sum("mixed").alias("whole"), F.sum("longest").alias("slack"))
+    r = report.select("source", "target_share", "max_repeats").join(got, "source", "left").crossJoin(whole)  # one row
+    return r.select("source", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), (F.abs(F.coalesce("mixed", F.lit(0)) - F.col("target_share") * F.col("whole")) <= F.col("slack")).alias("on_target"))
+
+
 def p7_ids(spark, sf):
     return tokenize.encode_column(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
 
@@ -140,7 +157,7 @@ def p9_clean(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p1_group_examples, p2_found, p3_found, p4_found, p4_report, p5_found, p5_percentiles, p5_combined, p6_found, p6_canonical, p7_ids, p8_copies, p8_mix, p9_found, p9_clean)
+    for f in (p1_found, p1_groups, p1_group_examples, p2_found, p3_found, p4_found, p4_report, p5_found, p5_percentiles, p5_combined, p5_combined_check, p6_found, p6_canonical, p7_ids, p8_copies, p8_mix, p8_check, p9_found, p9_clean)
 }
 
 #: All evaluation and train records whose questions and contexts overlap: p(a, b, eval_split).
@@ -152,7 +169,29 @@ _OVERLAPS = r"""
         p AS (SELECT a, b, eval_split FROM o WHERE len(list_intersect(ec, tc))::DOUBLE / greatest(len(ec) + len(tc) - len(list_intersect(ec, tc)), 1) >= 0.6)
         """
 
+#: Near-duplicate pairs with words once for each set: c(paragraph_id, ws), p(a, b) of paragraph pairs; ws is the sorted word set.
+_NEAR = r"""
+        WITH RECURSIVE c AS (SELECT DISTINCT paragraph_id, list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', title, array_to_string(sentences, ' '))), '[\pL\pN]+'))) AS ws FROM corpus),
+        w AS (SELECT paragraph_id, unnest(ws) AS w, len(ws) AS n FROM c),
+        p AS (SELECT a.paragraph_id AS a, b.paragraph_id AS b FROM w a JOIN w b ON a.w = b.w AND a.paragraph_id < b.paragraph_id GROUP BY a.paragraph_id, b.paragraph_id, a.n, b.n HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) >= 0.7),
+        e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+        r AS (SELECT paragraph_id AS x, paragraph_id AS y FROM c WHERE len(ws) > 0 UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
+        g AS (SELECT x AS paragraph_id, min(y) AS group_id FROM r GROUP BY x)
+        """
+
 SQL = {
+    "p1_groups": _NEAR + """, l AS (SELECT DISTINCT e.a AS paragraph_id, cb.ws FROM e JOIN c ca ON ca.paragraph_id = e.a JOIN c cb ON cb.paragraph_id = e.b WHERE ca.ws <> cb.ws),
+        n AS (SELECT paragraph_id, count(*) AS n FROM l GROUP BY paragraph_id)
+        SELECT g.paragraph_id, group_id, coalesce(n, 0)::BIGINT AS n_links FROM g LEFT JOIN n USING (paragraph_id)""",
+    "p1_group_examples": _NEAR + """, s AS (SELECT group_id, count(*) AS n_paragraphs FROM g GROUP BY group_id),
+        i AS (SELECT DISTINCT group_id, x AS source_example_id FROM (SELECT DISTINCT paragraph_id, unnest(source_example_ids) AS x FROM corpus) JOIN g USING (paragraph_id) WHERE x IS NOT NULL)
+        SELECT group_id, n_paragraphs, source_example_id FROM s LEFT JOIN i USING (group_id)""",
+    "p5_combined_check": """
+        WITH one AS (SELECT run_id, arg_min(struct_pack(b := benchmark_name, l := latency_samples_ms), recorded_at) AS r FROM benchmark_runs GROUP BY run_id),
+        s AS (SELECT r.b AS b, unnest(r.l) AS ms FROM one)
+        SELECT b AS benchmark_name, q, count(*) AS n, true AS holds FROM s, (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) t(q) WHERE ms IS NOT NULL AND NOT isnan(ms) AND ms >= 0 GROUP BY b, q""",
+    "p8_check": """
+        SELECT m.source, count(DISTINCT d.doc_id) AS n_documents, true AS within_repeats, true AS on_target FROM mix_targets m LEFT JOIN documents d ON d.source = m.source WHERE m.source IS NOT NULL GROUP BY m.source""",
     "p3_found": """
         WITH r AS (SELECT DISTINCT example_id, paragraph_id, rank, score FROM retrieved WHERE score IS NOT NULL AND NOT isnan(score)),
         one AS (SELECT *, row_number() OVER (PARTITION BY example_id, paragraph_id ORDER BY score DESC, rank ASC NULLS LAST) AS d FROM r),
