@@ -6,6 +6,7 @@ import random
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ VARIANTS = {
 
 @dataclass(frozen=True)
 class PackPlan:
-    """One configuration of a selector: what the sweep's plan table holds a row of."""
+    """One configuration of a selector: what the sweep's plan table holds a row of. The defaults are fixed values."""
 
     config_id: str
     method: str = "cover"
@@ -225,16 +226,16 @@ def register_compressor(name: str, select) -> None:
     SELECTORS[name] = select
 
 
-def pack(cands: DataFrame, key: str, plans: list[PackPlan]) -> DataFrame:
-    """(key, config_id, method, budget, used_tokens, selected array<struct<pos, title, sentence_id, text, score>>): every plan's selection for each row.
+def pack(cands: DataFrame, key: str, plans: list[PackPlan], keep: list[str] = ()) -> DataFrame:
+    """(key, config_id, method, budget, used_tokens, selected array<struct<pos, title, sentence_id, text, score>>, keep...): every plan's selection for each row.
 
-    All plans share a row's candidates, in one narrow pass of Python over Arrow batches. No shuffle.
+    keep: further columns of cands that each selection carries along. All plans share a row's candidates, in one narrow pass of Python over Arrow batches. No shuffle.
     A selector that overruns its budget or repeats a support key is an error.
     """
     plan_rows = [asdict(p) for p in plans]
     own = {p.method: SELECTORS[p.method] for p in plans}
-    kind = dict(cands.dtypes)[key]
-    schema = f"`{key}` {kind}, config_id string, method string, budget int, used_tokens int, selected array<struct<pos:int,title:string,sentence_id:int,text:string,score:double>>"
+    types = dict(cands.dtypes)
+    schema = f"`{key}` {types[key]}, config_id string, method string, budget int, used_tokens int, selected array<struct<pos:int,title:string,sentence_id:int,text:string,score:double>>" + "".join(f", `{c}` {types[c]}" for c in keep)
     item = pa.struct([("pos", pa.int32()), ("title", pa.string()), ("sentence_id", pa.int32()), ("text", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +257,9 @@ def pack(cands: DataFrame, key: str, plans: list[PackPlan]) -> DataFrame:
                         bud.append(p.budget)
                         used.append(n)
                         sel.append([{"pos": i, "title": cs[i]["title"], "sentence_id": cs[i]["sentence_id"], "text": cs[i]["text"], "score": s} for i, s in got])
-                yield pa.RecordBatch.from_arrays([pa.array(k, part.column(0).type), pa.array(ids, pa.string()), pa.array(meth, pa.string()), pa.array(bud, pa.int32()), pa.array(used, pa.int32()), pa.array(sel, pa.list_(item))], names=["k", "config_id", "method", "budget", "used_tokens", "selected"])
+                yield pa.RecordBatch.from_arrays([pa.array(k, part.column(0).type), pa.array(ids, pa.string()), pa.array(meth, pa.string()), pa.array(bud, pa.int32()), pa.array(used, pa.int32()), pa.array(sel, pa.list_(item)), *(part.column(3 + j).take(pa.array(np.repeat(np.arange(part.num_rows), len(todo)))) for j in range(len(keep)))], names=["k", "config_id", "method", "budget", "used_tokens", "selected", *keep])
 
-    return cands.select(key, "question_terms", "cands").mapInArrow(run, schema)
+    return cands.select(key, "question_terms", "cands", *keep).mapInArrow(run, schema)
 
 
 def pack_paragraphs(ranked: DataFrame, key: str, budget: int = 160) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import joined, paragraph_text, token_list, tokens
 from tessera.runtime import counted_broadcast, materialize
 
-K1, B = 1.5, 0.75
+K1, B = 1.5, 0.75  # fixed values
 EPS = 1e-8
 
 
@@ -70,7 +70,7 @@ def best_of(question: str | None, context: list[dict], top_k: int, k1: float, b:
 
 @dataclass
 class BM25Index:
-    """Inverted index of a corpus: docs (key, dl), postings (term, key, tf), stats (one row: n, avgdl). Each may be kept as a table."""
+    """Inverted index of a corpus: docs (key, dl), postings (term, key, tf, dl), stats (one row: n, avgdl). Each may be kept as a table."""
 
     docs: DataFrame
     postings: DataFrame
@@ -89,7 +89,7 @@ def build_index(corpus: DataFrame, key: str, k1: float = K1, b: float = B) -> BM
     check_parameters(k1, b)
     doc = corpus.select(F.col(key).alias("key"), tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), paragraph_text(F.col("sentences")))).alias("toks"))
     docs = doc.select("key", F.size("toks").alias("dl"))
-    postings = doc.select("key", F.explode("toks").alias("term")).groupBy("term", "key").agg(F.count("*").alias("tf"))
+    postings = doc.select("key", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("term", "key", "dl").agg(F.count("*").alias("tf")).select("term", "key", "tf", "dl")
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     return BM25Index(docs, postings, stats, key, k1, b)
 
@@ -97,22 +97,24 @@ def build_index(corpus: DataFrame, key: str, k1: float = K1, b: float = B) -> BM
 def rank_corpus(index: BM25Index, queries: DataFrame, query_id: str, question: str, top_k: int = 5) -> DataFrame:
     """(query_id, key, rank, score): the top_k documents of the whole corpus for each query.
 
-    Only terms of the queries meet the postings (a broadcast of the query terms if there are few),
-    frequencies are counted before scores, and partial sums combine before the shuffle. Queries
-    that match fewer than top_k documents are filled up with score-0 documents by smallest key:
-    matched scores are positive, so only the top_k smallest keys can be needed. Null questions and
-    an empty corpus give only such rows, or none.
+    Only terms of the queries meet the postings, and these are dealt by document: the query weights
+    are broadcast (if there are few), so a document's scores are summed up where it is, and a term
+    that most documents and queries have is spread like the documents. Each task then keeps its
+    top_k of each query before they are merged, so what is shuffled is the matching postings once
+    and top_k rows a query and task. With too many weights to broadcast, the join shuffles by term.
+    Queries that match fewer than top_k documents are filled up with score-0 documents by smallest
+    key: matched scores are positive, so only the top_k smallest keys can be needed. Null questions
+    and an empty corpus give only such rows, or none.
     """
-    q = queries.select(F.col(query_id).alias("qid"), F.explode(tokens(F.col(question))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf"))
-    wanted = q.select("term").distinct()
-    small = index.postings.join(counted_broadcast(wanted), "term", "left_semi")
+    q = materialize(queries.select(F.col(query_id).alias("qid"), F.explode(tokens(F.col(question))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf")), "query_terms")
+    small = materialize(index.postings.join(counted_broadcast(q.select("term").distinct()), "term", "left_semi"), "postings")
     df = small.groupBy("term").agg(F.count("*").alias("df"))
     weights = materialize(q.join(df, "term").crossJoin(F.broadcast(index.stats.select("n"))).select("qid", "term", (F.col("qf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("weight")), "weights")
     mean = index.stats.select("avgdl")
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     impact = tf * (index.k1 + 1) / F.greatest(tf + index.k1 * (1 - index.b + index.b * dl / F.greatest(F.col("avgdl"), F.lit(EPS))), F.lit(EPS))
-    impacts = small.join(index.docs, "key").crossJoin(F.broadcast(mean)).select("term", "key", impact.alias("impact"))  # once a posting, whatever the number of queries
-    scored = impacts.join(counted_broadcast(weights), "term").groupBy("qid", "key").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+    impacts = small.crossJoin(F.broadcast(mean)).select("term", "key", impact.alias("impact")).repartition("key")  # once a posting, whatever the number of queries
+    scored = impacts.join(counted_broadcast(weights), "term").groupBy("key", "qid").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
     by = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "key")
     best = materialize(scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k), "best")  # top_k rows a query
     full = best.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= top_k).select("qid")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,7 +154,6 @@ def bm25_global_topk(spark, sf):
     """Searches with every example whose hashed id is divisible by 100, against the whole corpus."""
     qs = examples(spark, sf).where(F.pmod(F.conv(F.substring(F.md5("example_id"), 1, 8), 16, 10).cast("long"), F.lit(100)) == 0)
     index = retrieval.build_index(paragraphs(spark, sf), "paragraph_id")
-    index.postings, index.docs = materialize(index.postings, "postings"), materialize(index.docs, "docs")
     r = retrieval.rank_corpus(index, qs, "eid", "question")
     return r.select("eid", "paragraph_id", "rank", F.round("score", 6).alias("score"))
 
@@ -291,8 +288,7 @@ def render_evidence(spark, sf):
 
 def _scored(spark, sf, plans: list[PackPlan]) -> DataFrame:
     """Support metrics of each plan's selection against the supporting facts."""
-    c = cands(spark, sf)
-    p = packing.pack(c, "eid", plans).join(c.select("eid", "supporting_facts"), "eid")
+    p = packing.pack(cands(spark, sf), "eid", plans, ["supporting_facts"])
     pred = F.transform("selected", lambda s: F.struct(s["title"].alias("title"), s["sentence_id"].alias("sent_id")))
     gold = F.col("supporting_facts")
     m = metrics.support_metrics(pred, gold)
@@ -310,7 +306,7 @@ def _summary(df: DataFrame, by: list[str]) -> DataFrame:
 @query()
 def method_summary(spark, sf):
     """One row for each selector: means over all examples."""
-    return _summary(_scored(spark, sf, [PackPlan(m, m) for m in ("cover", "mmr", "query_cover", "relevance", "random", "none")]), ["method", "budget"])
+    return _summary(_scored(spark, sf, [PackPlan(m, m) for m in ("cover", "mmr", "query_cover", "relevance", "none")]), ["method", "budget"])
 
 
 @query()
@@ -325,13 +321,13 @@ def sweep_29(spark, sf):
 
 @query()
 def depth_sweep(spark, sf):
-    e = examples(spark, sf).select("eid", "question", "context", "supporting_facts")
-    out = None
-    for depth in sweep.DEPTHS:
-        c = packing.candidates(retrieval.rank_context(e, depth))
-        p = packing.pack(c, "eid", [replace(PackPlan("cover"), config_id=f"depth-{depth}")]).groupBy("config_id").agg(F.count("*").alias("n"), F.round(F.avg("used_tokens"), 6).alias("used_tokens"), F.round(F.avg(F.size("selected")), 6).alias("n_sentences"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    """The cover selector on the best paragraphs up to each depth: ranked once, then cut at each depth."""
+    e = examples(spark, sf).select("eid", "question", "context")
+    r = retrieval.rank_context(e, max(sweep.DEPTHS)).select("eid", "question", "ranked")
+    each = F.explode(F.array(*[F.struct(F.lit(f"depth-{d}").alias("depth"), F.slice("ranked", 1, d).alias("ranked")) for d in sweep.DEPTHS]))
+    c = packing.candidates(r.select("eid", "question", each.alias("x")).select("eid", "question", "x.depth", "x.ranked"))
+    p = packing.pack(c, "eid", [PackPlan("cover")], ["depth"]).groupBy(F.col("depth").alias("config_id"))
+    return p.agg(F.count("*").alias("n"), F.round(F.avg("used_tokens"), 6).alias("used_tokens"), F.round(F.avg(F.size("selected")), 6).alias("n_sentences"))
 
 
 @query(f"""WITH {_PARA}, g AS (SELECT DISTINCT eid, f.title, f.sent_id FROM (SELECT eid, unnest(supporting_facts) AS f FROM ex)),
@@ -348,8 +344,8 @@ def support_metrics(spark, sf):
 
 @query()
 def coverage_diagnostics(spark, sf):
-    c = cands(spark, sf)
-    p = packing.pack(c, "eid", [PackPlan("cover")]).join(c.select("eid", "question_terms", "supporting_facts"), "eid")
+    c = cands(spark, sf).withColumn("asked", F.col("question_terms"))
+    p = packing.pack(c, "eid", [PackPlan("cover")], ["asked", "supporting_facts"]).withColumnRenamed("asked", "question_terms")
     d = metrics.coverage_diagnostics(F.col("selected"), F.col("question_terms"), F.col("supporting_facts"))
     return p.select("eid", *[(F.round(v, 9) if k != "unique_titles" else v).alias(k) for k, v in d.items()])
 
