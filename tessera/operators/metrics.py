@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import jaccard, let, normalize_answer, terms
+from tessera.runtime import counted_broadcast, materialize, running_total
 
 
 def exact_match(pred: Column, gold: Column) -> Column:
@@ -106,7 +107,16 @@ def method_summary(records: DataFrame, by: list[str], metrics: list[str], strict
 
 
 def average_ranks(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """df with 0-based ranks of value, equal values sharing their mean rank."""
-    w = Window.partitionBy(*(by or [])).orderBy(value)
-    ties = Window.partitionBy(*(by or []), value)
-    return df.withColumn(out, F.rank().over(w) - 1 + (F.count("*").over(ties) - 1) / 2)
+    """df with 0-based ranks of value, equal values sharing their mean rank; rows with a null value are left out.
+
+    Different values are counted and the counts summed up over ranges of values, so no group is
+    ranked in one task.
+    """
+    by = by or []
+    df = df.where(F.col(value).isNotNull())
+    n = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    r = running_total(n, by, value, "__n", "__before").select(*[F.col(c).alias(f"__{c}") for c in [*by, value]], (F.col("__before") + (F.col("__n") - 1) / 2).alias(out))
+    same = F.lit(True)
+    for c in [*by, value]:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return df.join(counted_broadcast(materialize(r, "ranks")), same).select(*df.columns, out)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +48,31 @@ def shared_between_splits(records: DataFrame, key: str, split: str = "split") ->
 
 
 def ordered_ids_sha256(records: DataFrame, by: list[str], key: str, order: str) -> DataFrame:
-    """by, n, sha256 of the JSON list of keys in the given order. A split's id list is one document, so it is one row by definition."""
-    ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k")))), lambda s: s["k"])
-    return records.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(F.to_json(ids), 256).alias("sha256"))
+    """by, n, sha256 of the JSON list of keys in the given order.
+
+    A hash of one document has to be computed in one go; the sorted keys stream through it, so no list is ever held.
+    """
+    kinds = dict(records.dtypes)
+    names = [*by, "n", "sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, h = None, 0, None
+
+        def done() -> pa.RecordBatch:
+            h.update(b"]")
+            return pa.RecordBatch.from_arrays([*(pa.array([x], types[i]) for i, x in enumerate(now)), pa.array([n], pa.int64()), pa.array([h.hexdigest()], pa.string())], names=names)
+
+        for b in batches:
+            types = [b.column(i).type for i in range(len(by))]
+            for row in zip(*(b.column(i).to_pylist() for i in range(len(by) + 1))):
+                if h is None or row[:-1] != now:
+                    if h is not None:
+                        yield done()
+                    now, n, h = row[:-1], 0, hashlib.sha256(b"[")
+                h.update((b"," if n else b"") + json.dumps(row[-1], ensure_ascii=False).encode())
+                n += 1
+        if h is not None:
+            yield done()
+
+    rows = records.select(*by, F.col(order).alias("__o"), F.col(key).cast("string").alias("__k")).repartition(*by).sortWithinPartitions(*by, "__o", "__k").select(*by, "__k")
+    return rows.mapInArrow(run, ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", n long, sha256 string")

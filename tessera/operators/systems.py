@@ -9,12 +9,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.runtime import materialize, running_total
+
 
 def latency_summary(samples: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, sample_count, mean_ms, std_ms (population), p50_ms, p95_ms (linear), min_ms, max_ms. Negative samples are an error; nulls and NaN aren't samples."""
+    """by, sample_count, mean_ms, std_ms (population), p50_ms, p95_ms (linear), min_ms, max_ms. Negative samples are an error; nulls and NaN aren't samples.
+
+    Equal samples are counted first and the counts summed up over ranges of values, so that the
+    percentiles of a large group aren't found in one task.
+    """
     v = F.when(F.col(value) < 0, F.raise_error(F.lit("latency samples must not be negative"))).otherwise(F.col(value))
     s = samples.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, v.alias("v"))
-    return s.groupBy(*by).agg(F.count("*").alias("sample_count"), F.avg("v").alias("mean_ms"), F.stddev_pop("v").alias("std_ms"), F.percentile("v", F.lit(0.5)).alias("p50_ms"), F.percentile("v", F.lit(0.95)).alias("p95_ms"), F.min("v").alias("min_ms"), F.max("v").alias("max_ms"))
+    s = materialize(s.groupBy(*by, "v").agg(F.count("*").alias("c")), "counted")
+    whole = s.groupBy(*by).agg(F.sum("c").alias("sample_count"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean_ms"), F.min("v").alias("min_ms"), F.max("v").alias("max_ms"))
+    spread_ = s.join(F.broadcast(whole.select(*by, "mean_ms")), by).groupBy(*by).agg(F.sqrt(F.sum((F.col("v") - F.col("mean_ms")) ** 2 * F.col("c")) / F.sum("c")).alias("std_ms")) if by else s.crossJoin(F.broadcast(whole.select("mean_ms"))).agg(F.sqrt(F.sum((F.col("v") - F.col("mean_ms")) ** 2 * F.col("c")) / F.sum("c")).alias("std_ms"))
+    at = running_total(s, by, "v", "c", "before").join(whole.select(*by, "sample_count"), by)
+    end = lambda q, f: F.max(F.when(F.expr(f"before <= {f}({q} * (sample_count - 1)) and before + c > {f}({q} * (sample_count - 1))"), F.col("v")))
+    part = lambda q: F.expr(f"{q} * (max(sample_count) - 1) - floor({q} * (max(sample_count) - 1))")
+    p = at.groupBy(*by).agg(*[(end(q, "floor") + (end(q, "ceil") - end(q, "floor")) * part(q)).alias(name) for q, name in ((0.5, "p50_ms"), (0.95, "p95_ms"))])
+    return whole.join(spread_, by).join(p, by).select(*by, "sample_count", "mean_ms", "std_ms", "p50_ms", "p95_ms", "min_ms", "max_ms")
 
 
 def breakdown(summary: DataFrame, by: list[str], parts: list[str], total: str) -> DataFrame:

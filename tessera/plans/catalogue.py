@@ -365,16 +365,33 @@ def answer_summary(spark, sf):
 
 
 _METHODS = ["echo", "mmr", "paragraph", "relevance"]
-_PAIRS = f"""{q.PRED}, one AS (SELECT example_id, method, max(em) AS em, max(f1) AS f1 FROM pred GROUP BY example_id, method),
-pairs AS (SELECT o.method AS comparison, c.example_id, c.em AS a, o.em AS b, c.f1 - o.f1 AS diff FROM one c JOIN one o ON c.example_id = o.example_id AND c.method = 'cover' AND o.method IN ('echo', 'mmr', 'paragraph', 'relevance'))"""
+#: Each method's first answer to an example at a budget, and cover against the others over the examples and budgets that both answered.
+_ONE = f"{q.PRED}, one AS (SELECT example_id || ':' || token_budget AS unit, method, arg_min(em, generation_id) AS em, arg_min(f1, generation_id) AS f1 FROM pred WHERE method IS NOT NULL AND example_id IS NOT NULL AND token_budget IS NOT NULL GROUP BY ALL)"
+_PAIRS = f"""{_ONE},
+pairs AS (SELECT o.method AS comparison, c.unit, c.em AS a, o.em AS b, c.f1 - o.f1 AS diff FROM one c JOIN one o ON c.unit = o.unit AND c.method = 'cover' AND o.method IN ('echo', 'mmr', 'paragraph', 'relevance'))"""
+
+
+def answers(spark, sf) -> DataFrame:
+    """(unit, method, em, f1): each method's first answer to an example at a budget; unit is both."""
+    p = predictions(spark, sf).where("method is not null and example_id is not null and token_budget is not null")
+    first = p.groupBy(F.concat_ws(":", "example_id", "token_budget").alias("unit"), "method").agg(F.min_by(F.struct("em", "f1"), "generation_id").alias("x"))
+    return materialize(first.select("unit", "method", "x.em", "x.f1"), "answers")
 
 
 def pairs(spark, sf) -> DataFrame:
-    """(comparison, example_id, a, b, diff): cover against each other method on the examples both answered; a and b are exact matches, diff is of F1."""
-    one = predictions(spark, sf).groupBy("example_id", "method").agg(F.max("em").alias("em"), F.max("f1").alias("f1"))
-    c = one.where("method = 'cover'").select("example_id", F.col("em").alias("a"), F.col("f1").alias("fa"))
-    o = one.where(F.col("method").isin(_METHODS)).select("example_id", F.col("method").alias("comparison"), F.col("em").alias("b"), F.col("f1").alias("fb"))
-    return c.join(o, "example_id").select("comparison", "example_id", "a", "b", (F.col("fa") - F.col("fb")).alias("diff"))
+    """(comparison, unit, a, b, diff): cover against each other method, aligned over the examples and budgets that both answered; a and b are exact matches, diff is of F1."""
+    one = answers(spark, sf).where(F.col("method").isin("cover", *_METHODS)).unpivot(["unit", "method"], ["em", "f1"], "metric", "value")
+    p = stats.against_reference(one, "unit", "method", "metric", "value", "cover", shared=True)  # a: the other method, b: cover
+    wide = p.groupBy("unit", "method").agg(F.max(F.when(F.col("metric") == "em", F.col("b"))).alias("a"), F.max(F.when(F.col("metric") == "em", F.col("a"))).alias("b"), F.max(F.when(F.col("metric") == "f1", -F.col("diff"))).alias("diff"))
+    return wide.withColumnRenamed("method", "comparison")
+
+
+@query(f"""WITH {_ONE}, m AS (SELECT unnest(['echo', 'mmr', 'paragraph', 'relevance']) AS method), c AS (SELECT unit FROM one WHERE method = 'cover')
+SELECT m.method, (SELECT count(*) FROM one o WHERE o.method = m.method AND o.unit IN (SELECT unit FROM c)) AS n_shared, (SELECT count(*) FROM one o WHERE o.method = m.method AND o.unit NOT IN (SELECT unit FROM c)) AS n_only_run,
+(SELECT count(*) FROM c WHERE unit NOT IN (SELECT o.unit FROM one o WHERE o.method = m.method)) AS n_only_reference FROM m""")
+def populations(spark, sf):
+    """How many examples and budgets each method shares with cover, and which it doesn't: what the paired queries leave out."""
+    return stats.populations(answers(spark, sf).where(F.col("method").isin("cover", *_METHODS)), "unit", "method", "cover")
 
 
 @query(f"WITH {_PAIRS} SELECT comparison, count(*) AS n, round(avg(diff), 9) AS mean_diff, round(CASE WHEN count(*) < 2 OR stddev_samp(diff) = 0 THEN CASE WHEN avg(diff) = 0 THEN 0.0 ELSE sign(avg(diff)) * 'inf'::DOUBLE END ELSE avg(diff) / stddev_samp(diff) END, 6) AS effect FROM pairs GROUP BY comparison")
@@ -400,27 +417,36 @@ def holm(spark, sf):
 _BITS = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 
 
-@query(f"""WITH {_PAIRS}, v AS (SELECT comparison, diff, row_number() OVER (PARTITION BY comparison ORDER BY example_id) - 1 AS o FROM pairs), n AS (SELECT comparison, count(*) AS n, avg(diff) AS mean FROM v GROUP BY comparison),
-dr AS (SELECT comparison, rep, {_BITS.format("'42:' || rep || ':' || v.o")} % n AS o FROM v JOIN n USING (comparison), (SELECT unnest(range(0, 200)) AS rep) r),
+def _draw(rep: str, slot: str, seed: int = 42) -> str:
+    """The integers of stats.draw in SQL."""
+    x = f"(({rep}::BIGINT * 1000003 + {slot}::BIGINT * 998244353 + {seed * 7919}) & 4294967295)"
+    for _ in range(2):
+        x = f"((xor({x}, {x} >> 16) * 73244475) & 4294967295)"
+    return f"xor({x}, {x} >> 16)"
+
+
+@query(f"""WITH {_PAIRS}, v AS (SELECT comparison, diff, row_number() OVER (PARTITION BY comparison ORDER BY unit) - 1 AS o FROM pairs), n AS (SELECT comparison, count(*) AS n, avg(diff) AS mean FROM v GROUP BY comparison),
+dr AS (SELECT comparison, rep, {_draw('rep', 'v.o')} % n AS o FROM v JOIN n USING (comparison), (SELECT unnest(range(0, 200)) AS rep) r),
 m AS (SELECT dr.comparison, rep, avg(v.diff) AS m FROM dr JOIN v ON v.comparison = dr.comparison AND v.o = dr.o GROUP BY dr.comparison, rep)
 SELECT n.comparison, n.n, round(any_value(mean), 9) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m JOIN n USING (comparison) GROUP BY n.comparison, n.n""")
 def bootstrap_hash(spark, sf):
-    b = stats.bootstrap_hash(pairs(spark, sf), ["comparison"], "example_id", "diff")
+    b = stats.bootstrap_hash(pairs(spark, sf), ["comparison"], "unit", "diff")
     return b.select("comparison", "n", F.round("mean", 9).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query(f"""WITH {_PAIRS}, v AS (SELECT comparison, diff, row_number() OVER (PARTITION BY comparison ORDER BY example_id) - 1 AS o FROM pairs), n AS (SELECT comparison, count(*) AS n, abs(avg(diff)) AS obs FROM v GROUP BY comparison),
-m AS (SELECT comparison, rep, abs(avg(CASE WHEN {_BITS.format("'42:' || rep || ':' || v.o")} % 2 = 0 THEN diff ELSE -diff END)) AS m FROM v, (SELECT unnest(range(0, 500)) AS rep) r GROUP BY comparison, rep)
+@query(f"""WITH {_PAIRS}, v AS (SELECT comparison, diff, row_number() OVER (PARTITION BY comparison ORDER BY unit) - 1 AS o FROM pairs), n AS (SELECT comparison, count(*) AS n, abs(avg(diff)) AS obs FROM v GROUP BY comparison),
+m AS (SELECT comparison, rep, abs(avg(CASE WHEN {_draw('rep', 'v.o')} % 2 = 0 THEN diff ELSE -diff END)) AS m FROM v, (SELECT unnest(range(0, 500)) AS rep) r GROUP BY comparison, rep)
 SELECT comparison, any_value(n) AS n, round((count(CASE WHEN m >= obs - 1e-12 THEN 1 END) + 1) / 501.0, 9) AS p_value FROM m JOIN n USING (comparison) GROUP BY comparison""")
 def sign_test_hash(spark, sf):
-    return stats.sign_test_hash(pairs(spark, sf), ["comparison"], "example_id").select("comparison", "n", F.round("p_value", 9).alias("p_value"))
+    return stats.sign_test_hash(pairs(spark, sf), ["comparison"], "unit").select("comparison", "n", F.round("p_value", 9).alias("p_value"))
 
 
 @query()
 def comparison_table(spark, sf):
-    """Every other method against echo on both metrics, with intervals, tests and correction over all rows."""
-    one = predictions(spark, sf).groupBy("example_id", "method").agg(F.max("em").alias("em"), F.max("f1").alias("f1"))
-    return stats.comparison_table(one.unpivot(["example_id", "method"], ["em", "f1"], "metric", "value"), "example_id", "method", "metric", "value", "echo")
+    """Every other method against echo on both metrics, over the examples and budgets that both answered, with intervals, tests and correction over all rows."""
+    one = answers(spark, sf).unpivot(["unit", "method"], ["em", "f1"], "metric", "value")
+    t = stats.comparison_table(one, "unit", "method", "metric", "value", "echo", shared=True)
+    return t.select("method", "metric", "n", "test", *[F.round(c, 6).alias(c) for c in ("mean", "reference_mean", "delta", "relative_delta", "low", "high", "effect", "p_value", "p_holm")])
 
 
 @query()
@@ -432,12 +458,12 @@ def annotation_sample(spark, sf):
 
 @query()
 def bootstrap_numpy(spark, sf):
-    return stats.bootstrap_exact(pairs(spark, sf), ["comparison"], "example_id", "diff")
+    return stats.bootstrap_exact(pairs(spark, sf), ["comparison"], "unit", "diff")
 
 
 @query()
 def sign_test_numpy(spark, sf):
-    return stats.sign_test_groups(pairs(spark, sf), ["comparison"], "example_id")
+    return stats.sign_test_groups(pairs(spark, sf), ["comparison"], "unit")
 
 
 @query(f"WITH {q.RET}, r AS (SELECT coalesce(retrieval_method, '') AS retrieval_method, rank, score FROM ret WHERE rank IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)), a AS (SELECT *, rank() OVER (PARTITION BY retrieval_method ORDER BY rank) - 1 + (count(*) OVER (PARTITION BY retrieval_method, rank) - 1) / 2.0 AS x, rank() OVER (PARTITION BY retrieval_method ORDER BY score) - 1 + (count(*) OVER (PARTITION BY retrieval_method, score) - 1) / 2.0 AS y FROM r) SELECT retrieval_method, count(*) AS n, round(CASE WHEN stddev_pop(x) = 0 OR stddev_pop(y) = 0 THEN 0.0 ELSE corr(x, y) END, 6) AS rho FROM a GROUP BY retrieval_method")
