@@ -30,6 +30,14 @@ def query(sql: str | None = None):
     return add
 
 
+#: SQL of failed predictions with their labels, and the labels in order.
+_CAT = f"""{q.PRED}, c0 AS (SELECT *, {q.norm('evidence')} AS ne FROM pred WHERE em = 0),
+c1 AS (SELECT *, np = 'insufficient evidence' AS ab, (ng <> '' AND contains(ne, ng)) AS known, (np <> '' AND contains(ne, np)) AS seen, {q.trm('np')} AS tp, {q.trm('ng')} AS tg, regexp_extract_all(coalesce(text, ''), '(\\d+)', 1) AS dp, regexp_extract_all(coalesce(answer, ''), '(\\d+)', 1) AS dg FROM c0),
+c2 AS (SELECT *, np <> '' AND ng <> '' AND (f1 >= 0.5 OR contains(np, ng) OR contains(ng, np) OR (len(dp) > 0 AND dp = dg) OR {q.jac('tp', 'tg')} >= 0.8) AS form, CASE WHEN known THEN 1.0 ELSE 0.0 END AS cover FROM c1),
+cat AS (SELECT generation_id, example_id, method, f1, CASE WHEN NOT ab AND form THEN 'formatting_mismatch' WHEN ab AND NOT known THEN 'support_missing' WHEN ab THEN 'support_present_answer_wrong' WHEN NOT known THEN 'insufficient_evidence_forced_answer' ELSE 'support_present_answer_wrong' END AS category FROM c2)"""
+_LABELS = "[" + ",".join(f"'{c}'" for c in errors.CATEGORIES) + "]"
+
+
 # Base tables: each record once.
 
 
@@ -280,7 +288,8 @@ def pack_random(spark, sf):
     return _positions(spark, sf, PackPlan("random", "random"))
 
 
-@query()
+@query(q.greedy(q.cover_score(), stop="AND (step = 0 OR b.score >= 0.0)", final=q.CHOSEN + """, bl AS (SELECT eid, title, min(i) AS i, 'Title: ' || title || chr(10) || string_agg('- ' || text, chr(10) ORDER BY i) AS block FROM ch GROUP BY eid, title)
+SELECT e.eid, coalesce(any_value(tk.used), 0)::INTEGER AS used_tokens, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY bl.i), '') AS evidence FROM ex e LEFT JOIN tk USING (eid) LEFT JOIN bl USING (eid) GROUP BY e.eid"""))
 def render_evidence(spark, sf):
     p = packing.pack(cands(spark, sf), "eid", [PackPlan("cover")])
     return p.select("eid", "used_tokens", text.render(F.col("selected")).alias("evidence"))
@@ -303,23 +312,26 @@ def _summary(df: DataFrame, by: list[str]) -> DataFrame:
     return s.select(*by, "n", *[F.round(c, 6).alias(c) for c in _MEANS])
 
 
-@query()
+_METHOD_PLANS = [PackPlan(m, m) for m in ("cover", "mmr", "query_cover", "relevance", "none")]
+
+
+@query(q.summaries(_METHOD_PLANS, "method, budget"))
 def method_summary(spark, sf):
     """One row for each selector: means over all examples."""
-    return _summary(_scored(spark, sf, [PackPlan(m, m) for m in ("cover", "mmr", "query_cover", "relevance", "none")]), ["method", "budget"])
+    return _summary(_scored(spark, sf, _METHOD_PLANS), ["method", "budget"])
 
 
-@query()
+@query(q.summaries(sweep.budgets(), "config_id, method, budget"))
 def budget_sweep(spark, sf):
     return _summary(_scored(spark, sf, sweep.budgets()), ["config_id", "method", "budget"])
 
 
-@query()
+@query(q.summaries(sweep.sweep(), "config_id, method, budget"))
 def sweep_29(spark, sf):
     return _summary(_scored(spark, sf, sweep.sweep()), ["config_id", "method", "budget"])
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT 'depth-{d}' AS config_id, count(*) AS n, round(avg(used_tokens), 6) AS used_tokens, round(avg(CASE WHEN positions = '' THEN 0 ELSE len(string_split(positions, ',')) END), 6) AS n_sentences FROM ({q.greedy(q.cover_score(), stop='AND (step = 0 OR b.score >= 0.0)').replace('WHERE rank <= 5', f'WHERE rank <= {d}')})" for d in sweep.DEPTHS))
 def depth_sweep(spark, sf):
     """The cover selector on the best paragraphs up to each depth: ranked once, then cut at each depth."""
     e = examples(spark, sf).select("eid", "question", "context")
@@ -342,7 +354,12 @@ def support_metrics(spark, sf):
     return p.select("eid", *[F.round(v, 9).alias(f"support_{k}") for k, v in m.items()], F.round(metrics.coverage(pred, F.col("supporting_facts")), 9).alias("coverage"))
 
 
-@query()
+@query(q.greedy(q.cover_score(), stop="AND (step = 0 OR b.score >= 0.0)", final=q.CHOSEN + f""", pr AS (SELECT a.eid, avg({q.jac("a.terms", "b.terms")}) AS mean, max({q.jac("a.terms", "b.terms")}) AS most FROM ch a JOIN ch b ON a.eid = b.eid AND a.i < b.i GROUP BY a.eid),
+sm AS (SELECT eid, count(*) AS n, count(DISTINCT title) AS titles, list_distinct(flatten(list(terms))) AS found, list(title || chr(1) || sid) AS keys FROM ch GROUP BY eid),
+gd AS (SELECT eid, list_distinct(list_transform(coalesce(supporting_facts, []), lambda f: coalesce(f.title, chr(2)) || chr(1) || coalesce(f.sent_id::VARCHAR, chr(2)))) AS gold FROM ex)
+SELECT e.eid, CASE WHEN len(qt.qterms) = 0 THEN 1.0 ELSE round(len(list_intersect(qt.qterms, coalesce(found, [])))::DOUBLE / len(qt.qterms), 9) END AS question_coverage, coalesce(titles, 0)::INTEGER AS unique_titles, round(coalesce(titles::DOUBLE / n, 0.0), 9) AS unique_title_ratio,
+round(coalesce(pr.mean, 0.0), 9) AS mean_redundancy, round(coalesce(pr.most, 0.0), 9) AS max_redundancy, CASE WHEN len(gold) = 0 THEN 1.0 ELSE round(len(list_intersect(coalesce(keys, []), gold))::DOUBLE / len(gold), 9) END AS gold_recall
+FROM ex e JOIN qt USING (eid) JOIN gd USING (eid) LEFT JOIN sm USING (eid) LEFT JOIN pr USING (eid)"""))
 def coverage_diagnostics(spark, sf):
     c = cands(spark, sf).withColumn("asked", F.col("question_terms"))
     p = packing.pack(c, "eid", [PackPlan("cover")], ["asked", "supporting_facts"]).withColumnRenamed("asked", "question_terms")
@@ -441,7 +458,20 @@ def sign_test_hash(spark, sf):
     return stats.sign_test_hash(pairs(spark, sf), ["comparison"], "unit").select("comparison", "n", F.round("p_value", 9).alias("p_value"))
 
 
-@query()
+@query(f"""WITH {_ONE}, l AS (SELECT unit, method, 'em' AS metric, em AS v FROM one UNION ALL SELECT unit, method, 'f1', f1 FROM one),
+p AS (SELECT a.method, a.metric, a.unit, a.v AS a, b.v AS b, a.v - b.v AS diff FROM l a JOIN l b ON a.unit = b.unit AND a.metric = b.metric AND b.method = 'echo' AND a.method <> 'echo'),
+v AS (SELECT method, metric, diff, row_number() OVER (PARTITION BY method, metric ORDER BY unit) - 1 AS o FROM p),
+n AS (SELECT method, metric, count(*) AS n, avg(a) AS mean, avg(b) AS reference_mean, avg(diff) AS delta, stddev_samp(diff) AS sd, count(CASE WHEN a = 1 AND b = 0 THEN 1 END) AS x, count(CASE WHEN a = 0 AND b = 1 THEN 1 END) AS y FROM p GROUP BY method, metric),
+r AS (SELECT unnest(range(0, 10000)) AS rep),
+bm AS (SELECT d.method, d.metric, rep, avg(w.diff) AS m FROM (SELECT v.method, v.metric, rep, {_draw('rep', 'v.o')} % n AS o FROM v JOIN n USING (method, metric), r) d JOIN v w ON w.method = d.method AND w.metric = d.metric AND w.o = d.o GROUP BY d.method, d.metric, rep),
+ci AS (SELECT method, metric, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm GROUP BY method, metric),
+sm AS (SELECT method, metric, rep, abs(avg(CASE WHEN {_draw('rep', 'v.o')} % 2 = 0 THEN diff ELSE -diff END)) AS m FROM v, r WHERE metric = 'f1' GROUP BY method, metric, rep),
+sp AS (SELECT method, metric, (count(CASE WHEN m >= abs(delta) - 1e-12 THEN 1 END) + 1) / 10001.0 AS p FROM sm JOIN n USING (method, metric) GROUP BY method, metric),
+t AS (SELECT n.*, low, high, CASE WHEN n.metric = 'em' THEN 'mcnemar' ELSE 'random sign' END AS test, CASE WHEN n < 2 OR coalesce(sd, 0) = 0 THEN CASE WHEN delta = 0 THEN 0.0 ELSE sign(delta) * 'inf'::DOUBLE END ELSE delta / sd END AS effect,
+  CASE WHEN n.metric = 'f1' THEN sp.p WHEN x + y = 0 THEN 1.0 ELSE least(1.0, 2.0 * list_sum(list_transform(range(0, least(x, y) + 1), lambda i: exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2))))) END AS p FROM n JOIN ci USING (method, metric) LEFT JOIN sp USING (method, metric)),
+o AS (SELECT *, row_number() OVER (ORDER BY p, method, metric) AS k, count(*) OVER () AS f FROM t)
+SELECT method, metric, n, test, round(mean, 6) AS mean, round(reference_mean, 6) AS reference_mean, round(delta, 6) AS delta, round(delta / nullif(abs(reference_mean), 0), 6) AS relative_delta, round(low, 6) AS low, round(high, 6) AS high, round(effect, 6) AS effect, round(p, 6) AS p_value,
+round(max(least(1.0, (f - k + 1) * p)) OVER (ORDER BY k), 6) AS p_holm FROM o""")
 def comparison_table(spark, sf):
     """Every other method against echo on both metrics, over the examples and budgets that both answered, with intervals, tests and correction over all rows."""
     one = answers(spark, sf).unpivot(["unit", "method"], ["em", "f1"], "metric", "value")
@@ -449,7 +479,11 @@ def comparison_table(spark, sf):
     return t.select("method", "metric", "n", "test", *[F.round(c, 6).alias(c) for c in ("mean", "reference_mean", "delta", "relative_delta", "low", "high", "effect", "p_value", "p_holm")])
 
 
-@query()
+@query(f"""WITH {_CAT}, f AS (SELECT example_id, method, min(category) AS category FROM cat GROUP BY ALL),
+a AS (SELECT f.example_id, f.method, f.category, CASE WHEN o.example_id IS NULL THEN f.method || '_fail_only' ELSE 'both_fail' END AS outcome FROM f LEFT JOIN f o ON o.example_id = f.example_id AND o.method = CASE f.method WHEN 'cover' THEN 'echo' ELSE 'cover' END WHERE f.method IN ('cover', 'echo')),
+t AS (SELECT *, row_number() OVER (PARTITION BY method, outcome, category ORDER BY example_id) AS turn FROM a),
+r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY (outcome = 'both_fail')::INTEGER, turn, list_position({_LABELS}, category)) AS k FROM t)
+SELECT example_id, method, category, outcome FROM r WHERE k <= CASE method WHEN 'cover' THEN 30 ELSE 10 END""")
 def annotation_sample(spark, sf):
     """Failures of cover and echo to look at; the sizes are the sample's own."""
     f = failures(spark, sf).groupBy("example_id", "method").agg(F.min("category").alias("category"))
@@ -507,18 +541,19 @@ def split_checks(spark, sf):
     return provenance.split_checks(table(spark, sf, "examples"), "example_id")
 
 
-@query()
+@query(f"""WITH {q.EX}, f AS (SELECT *, coalesce(supporting_facts, []) AS facts, list_transform(context, lambda x: x.title) AS titles FROM ex),
+r AS (SELECT 'blank question' AS problem, trim(coalesce(question, ''), ' ') = '' AS bad FROM f UNION ALL SELECT 'blank answer', trim(coalesce(answer, ''), ' ') = '' FROM f UNION ALL SELECT 'no context', coalesce(len(context), 0) = 0 FROM f
+UNION ALL SELECT 'repeated title', len(list_distinct(list_transform(titles, lambda x: coalesce(x, chr(2))))) < len(titles) FROM f
+UNION ALL SELECT 'fact of no title', len(list_filter(facts, lambda x: x.title IS NOT NULL AND NOT coalesce(list_contains(titles, x.title), false))) > 0 FROM f
+UNION ALL SELECT 'sentence out of range', len(list_filter(facts, lambda x: len(list_filter(coalesce(context, []), lambda y: y.title = x.title AND (x.sent_id < 0 OR x.sent_id >= coalesce(len(y.sentences), 0)))) > 0)) > 0 FROM f
+UNION ALL SELECT 'repeated fact', len(list_distinct(list_transform(facts, lambda x: coalesce(x.title, chr(2)) || chr(1) || coalesce(x.sent_id::VARCHAR, chr(2))))) < len(facts) FROM f)
+SELECT problem, count(*) AS n FROM r WHERE bad GROUP BY problem""")
 def record_problems(spark, sf):
     return records.problems(examples(spark, sf), "eid").groupBy("problem").agg(F.count("*").alias("n"))
 
 
 # Errors
 
-_CAT = f"""{q.PRED}, c0 AS (SELECT *, {q.norm('evidence')} AS ne FROM pred WHERE em = 0),
-c1 AS (SELECT *, np = 'insufficient evidence' AS ab, (ng <> '' AND contains(ne, ng)) AS known, (np <> '' AND contains(ne, np)) AS seen, {q.trm('np')} AS tp, {q.trm('ng')} AS tg, regexp_extract_all(coalesce(text, ''), '(\\d+)', 1) AS dp, regexp_extract_all(coalesce(answer, ''), '(\\d+)', 1) AS dg FROM c0),
-c2 AS (SELECT *, np <> '' AND ng <> '' AND (f1 >= 0.5 OR contains(np, ng) OR contains(ng, np) OR (len(dp) > 0 AND dp = dg) OR {q.jac('tp', 'tg')} >= 0.8) AS form, CASE WHEN known THEN 1.0 ELSE 0.0 END AS cover FROM c1),
-cat AS (SELECT generation_id, example_id, method, f1, CASE WHEN NOT ab AND form THEN 'formatting_mismatch' WHEN ab AND NOT known THEN 'support_missing' WHEN ab THEN 'support_present_answer_wrong' WHEN NOT known THEN 'insufficient_evidence_forced_answer' ELSE 'support_present_answer_wrong' END AS category FROM c2)"""
-
 
 def failures(spark, sf) -> DataFrame:
     """Wrong predictions with their error category; coverage is whether the gold answer stands in the evidence."""
@@ -532,7 +567,6 @@ def error_categories(spark, sf):
     return failures(spark, sf).select("generation_id", "method", "category")
 
 
-_LABELS = "[" + ",".join(f"'{c}'" for c in errors.CATEGORIES) + "]"
 
 
 @query(f"WITH {_CAT}, l AS (SELECT unnest({_LABELS}) AS category), m AS (SELECT DISTINCT method FROM cat), n AS (SELECT m.method, l.category, count(cat.generation_id) AS n FROM m CROSS JOIN l LEFT JOIN cat ON cat.method = m.method AND cat.category = l.category GROUP BY ALL) SELECT method, category, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY method), 9) AS share FROM n")

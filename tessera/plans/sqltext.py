@@ -91,7 +91,15 @@ c0 AS (SELECT rk.eid, rk.rank, coalesce(rk.title, '') AS title, u.sid, rk.senten
 cd AS (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY rank, sid) - 1 AS pos, len(list_intersect(qterms, terms))::DOUBLE / greatest(len(qterms), 1) AS qoverlap FROM c0 WHERE len(terms) > 0)"""
 
 
-def greedy(score: str, budget: int = 160, stop: str = "") -> str:
+_TAKEN = "SELECT e.eid, coalesce(max_by(used, step), 0)::INTEGER AS used_tokens, coalesce(array_to_string(max_by(taken, step), ','), '') AS positions FROM ex e LEFT JOIN g USING (eid) GROUP BY e.eid"
+
+#: After greedy(): what was taken, in order: ch(eid, i, pos, title, sid, terms, text).
+CHOSEN = """, tk AS (SELECT eid, max_by(taken, step) AS taken, max_by(used, step) AS used FROM g GROUP BY eid),
+ch AS (SELECT u.eid, u.i, cd.pos, cd.title, cd.sid, cd.terms, cd.text FROM (SELECT eid, unnest(taken) AS pos, generate_subscripts(taken, 1) AS i FROM tk) u JOIN cd ON cd.eid = u.eid AND cd.pos = u.pos)
+"""
+
+
+def greedy(score: str, budget: int = 160, stop: str = "", final: str = _TAKEN) -> str:
     """A recursive selection: score over (c: candidate, g: state with covered, titles, taken) and near (largest similarity to what is taken)."""
     return f"""WITH RECURSIVE {CANDS},
 cx AS MATERIALIZED (SELECT eid, pos, title, sid, terms, tok, qterms, 0.55 * qoverlap + 0.35 * ps + 0.10 * toverlap AS rel FROM cd),
@@ -107,7 +115,37 @@ g AS (
     GROUP BY ALL HAVING b IS NOT NULL
   ) WHERE true {stop}
 )
-SELECT e.eid, coalesce(max_by(used, step), 0)::INTEGER AS used_tokens, coalesce(array_to_string(max_by(taken, step), ','), '') AS positions FROM ex e LEFT JOIN g USING (eid) GROUP BY e.eid"""
+{final}"""
+
+
+def summaries(plans: list, columns: str) -> str:
+    """Means of support metrics for each of the plans (cover, mmr, query_cover, relevance, none): one recursion over examples and configurations."""
+    val = lambda p: f"('{p.config_id}', '{p.method}', {p.budget}, {p.alpha}::DOUBLE, {p.beta}::DOUBLE, {p.gamma}::DOUBLE, {p.delta}::DOUBLE, {p.title_bonus}::DOUBLE, {p.stop}::DOUBLE, {p.trade}::DOUBLE)"
+    new = "len(list_filter(list_intersect(c.terms, c.qterms), lambda z: NOT list_contains(g.covered, z)))::DOUBLE"
+    score = f"""round(CASE g.method WHEN 'mmr' THEN g.trade * c.rel - (1 - g.trade) * nn.near WHEN 'query_cover' THEN {new} / c.tok WHEN 'relevance' THEN -c.place
+      ELSE g.alpha * c.rel + g.beta * {new} / greatest(len(c.qterms), 1) + g.bonus * (CASE WHEN list_contains(g.titles, c.title) THEN 0.0 ELSE 1.0 END) - g.gamma * nn.near - g.delta * (c.tok::DOUBLE / g.budget) END, 12)"""
+    return f"""WITH RECURSIVE {CANDS},
+cfg AS (SELECT * FROM (VALUES {", ".join(map(val, plans))}) t(config_id, method, budget, alpha, beta, gamma, delta, bonus, stop, trade)),
+cx AS MATERIALIZED (SELECT eid, pos, title, sid, terms, tok, qterms, 0.55 * qoverlap + 0.35 * ps + 0.10 * toverlap AS rel, row_number() OVER (PARTITION BY eid ORDER BY qoverlap DESC, round(ps, 12) DESC, toverlap DESC, pos)::DOUBLE AS place FROM cd),
+g AS (
+  SELECT eid, cfg.*, 0 AS step, 0 AS used, []::VARCHAR[] AS covered, []::VARCHAR[] AS titles, []::VARCHAR[] AS keys, []::VARCHAR[][] AS sets FROM (SELECT DISTINCT eid FROM cx), cfg WHERE method <> 'none'
+  UNION ALL
+  SELECT eid, config_id, method, budget, alpha, beta, gamma, delta, bonus, stop, trade, step + 1, used + b.tok, list_distinct(list_concat(covered, b.terms)), list_append(titles, b.title), list_append(keys, b.key), list_append(sets, b.terms)
+  FROM (
+    SELECT g.eid, g.config_id, g.method, g.budget, g.alpha, g.beta, g.gamma, g.delta, g.bonus, g.stop, g.trade, g.step, g.used, g.covered, g.titles, g.keys, g.sets,
+      arg_max(struct_pack(tok := c.tok, terms := c.terms, title := c.title, key := c.title || chr(1) || c.sid, score := {score}), struct_pack(s := {score}, p := -c.pos)) AS b
+    FROM g JOIN cx c ON c.eid = g.eid,
+      LATERAL (SELECT coalesce(list_max(list_transform(g.sets, lambda z: {jac('z', 'c.terms')})), 0.0) AS near) nn
+    WHERE g.used + c.tok <= g.budget AND NOT list_contains(g.keys, c.title || chr(1) || c.sid)
+    GROUP BY ALL HAVING b IS NOT NULL
+  ) WHERE CASE method WHEN 'cover' THEN step = 0 OR b.score >= stop WHEN 'query_cover' THEN b.score > 0 ELSE true END
+),
+tk AS (SELECT eid, config_id, max_by(used, step) AS used, max_by(keys, step) AS keys FROM g GROUP BY eid, config_id),
+gold AS (SELECT eid, list_distinct(list_transform(coalesce(supporting_facts, []), lambda f: coalesce(f.title, chr(2)) || chr(1) || coalesce(f.sent_id::VARCHAR, chr(2)))) AS gold FROM ex),
+n AS (SELECT gold.eid, cfg.config_id, cfg.method, cfg.budget, coalesce(used, 0) AS used, len(coalesce(keys, [])) AS np, len(gold) AS ng, len(list_intersect(coalesce(keys, []), gold)) AS h FROM gold CROSS JOIN cfg LEFT JOIN tk ON tk.eid = gold.eid AND tk.config_id = cfg.config_id),
+m AS (SELECT *, CASE WHEN np = 0 AND ng = 0 THEN 1.0 WHEN np = 0 OR ng = 0 THEN 0.0 END AS edge FROM n)
+SELECT {columns}, count(*) AS n, round(avg(used), 6) AS used_tokens, round(avg(coalesce(edge, (h = np AND h = ng)::DOUBLE)), 6) AS support_em, round(avg(coalesce(edge, h::DOUBLE / np)), 6) AS support_precision, round(avg(coalesce(edge, h::DOUBLE / ng)), 6) AS support_recall,
+  round(avg(coalesce(edge, 2.0 * h / (np + ng))), 6) AS support_f1, round(avg(CASE WHEN ng = 0 THEN 1.0 ELSE h::DOUBLE / ng END), 6) AS coverage FROM m GROUP BY {columns}"""
 
 
 def cover_score(alpha: float = 1.0, beta: float = 1.2, gamma: float = 0.6, delta: float = 0.15, bonus: float = 0.3, budget: int = 160) -> str:
