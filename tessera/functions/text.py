@@ -104,6 +104,31 @@ def render(selected: Column, titles: bool = True) -> Column:
     return F.array_join(F.transform(heads, block), "\n\n")
 
 
+def parse_evidence(x: Column) -> Column:
+    """The (title, text) structs that rendered evidence lists: the inverse of render with titles; null gives an empty list."""
+    item = "struct<title:string,text:string>"
+    start = F.struct(F.lit("").alias("title"), F.array().cast(f"array<{item}>").alias("out"))
+    step = lambda a, s: (
+        F.when(F.startswith(s, F.lit("Title: ")), F.struct(F.substring(s, 8, 1 << 30).alias("title"), a["out"].alias("out")))
+        .when(F.startswith(s, F.lit("- ")), F.struct(a["title"].alias("title"), F.concat(a["out"], F.array(F.struct(a["title"].alias("title"), F.substring(s, 3, 1 << 30).alias("text")))).alias("out")))
+        .otherwise(a)
+    )
+    return F.aggregate(F.split(F.coalesce(x, F.lit("")), "\n"), start, step, lambda a: a["out"])
+
+
+def sentence_list(context: Column) -> Column:
+    """All sentences of a context as structs title, sent_id, text; null titles count as empty."""
+    none = F.array().cast("array<struct<title:string,sentences:array<string>>>")
+    return F.flatten(F.transform(F.coalesce(context, none), lambda p: F.transform(F.coalesce(p["sentences"], F.array().cast("array<string>")), lambda s, i: F.struct(F.coalesce(p["title"], F.lit("")).alias("title"), i.alias("sent_id"), s.alias("text")))))
+
+
+def evidence_keys(evidence: Column, sentences: Column) -> Column:
+    """The distinct support keys (title, sent_id) that rendered evidence holds: each line's first sentence of the same title and text in sentence_list."""
+    found = lambda s: F.get(F.filter(sentences, lambda c: (c["title"] == s["title"]) & (c["text"] == s["text"])), F.lit(0))
+    keys = F.transform(F.filter(F.transform(parse_evidence(evidence), found), lambda c: c.isNotNull()), lambda c: F.struct(c["title"].alias("title"), c["sent_id"].alias("sent_id")))
+    return F.array_distinct(keys)
+
+
 # The same definitions for single texts, for the selectors that run in Python.
 
 _TOKEN_RE = re.compile(TOKEN)

@@ -32,3 +32,10 @@ def manifest(corpus: DataFrame) -> DataFrame:
     """One row: paragraphs, distinct titles, and an order-free digest of the corpus ids."""
     digest = F.sum(F.conv(F.substring(F.sha2("corpus_id", 256), 1, 12), 16, 10).cast("decimal(38,0)"))
     return corpus.agg(F.count("*").alias("paragraph_count"), F.countDistinct("title").alias("title_count"), digest.cast("string").alias("digest"))
+
+
+def fact_paragraphs(facts: DataFrame, identities: DataFrame, key: str) -> DataFrame:
+    """(key, paragraph_ids) of each record's supporting facts (key, title, sent_id), sorted and distinct, by identities (title, sent_id, paragraph_id). A fact without a paragraph is an error when it runs."""
+    got = facts.join(identities, ["title", "sent_id"], "left")
+    found = F.when(F.col("paragraph_id").isNull(), F.raise_error(F.concat(F.lit("no paragraph for the fact "), F.coalesce("title", F.lit("null"))))).otherwise(F.col("paragraph_id"))
+    return got.groupBy(key).agg(F.sort_array(F.collect_set(found)).alias("paragraph_ids"))

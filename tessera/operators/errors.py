@@ -83,6 +83,42 @@ def annotation_sample(own: DataFrame, other: DataFrame, key: str, own_name: str,
     return part(a, b, own_name, own_target).unionByName(part(b, a, other_name, other_target))
 
 
+def note(category: Column, cover: Column, pred: Column, both_fail: Column, other: str) -> Column:
+    """A sentence on the failure and one on the paired run. The wordings are fixed values."""
+    c = F.format_string("%.2f", F.bround(F.coalesce(cover, F.lit(0.0)), 2))
+    said = {
+        "support_missing": F.concat(F.lit("Coverage is "), c, F.lit("; the packed context misses key support and the model abstains.")),
+        "support_present_answer_wrong": F.concat(F.lit("Answer evidence is present enough (coverage "), c, F.lit("), but the model still outputs '"), F.coalesce(pred, F.lit("")), F.lit("'.")),
+        "formatting_mismatch": F.lit("The prediction overlaps with the gold answer but fails normalization-sensitive scoring."),
+        "hallucination": F.lit("The prediction is not grounded in the packed evidence excerpt."),
+        "multi_hop_reasoning_failure": F.concat(F.lit("Coverage is "), c, F.lit("; the chain is only partly preserved and the model fails to connect it.")),
+        "insufficient_evidence_forced_answer": F.concat(F.lit("Coverage is "), c, F.lit("; the model commits to a concrete answer instead of abstaining.")),
+        "other": F.lit("The failure does not fit the main taxonomy cleanly."),
+    }
+    text = F.coalesce(*[F.when(category == k, v) for k, v in said.items()])
+    pair = F.when(both_fail, f"The paired {other} run also fails on this example.").otherwise(f"The paired {other} run succeeds on this example.")
+    return F.concat(text, F.lit(" "), pair)
+
+
+def failure_table(a: DataFrame, b: DataFrame, key: str, a_name: str, b_name: str) -> DataFrame:
+    """(key, method, category, outcome, note, f1, cover, other_f1, other_cover) of every failure of two runs over the same keys.
+
+    a, b: (key, em, f1, cover, text, category), each key once; different populations or repeated
+    keys are an error when it runs. category may be null where em is 1.
+    """
+    side = lambda x, p: x.groupBy(key).agg(F.count("*").alias(f"{p}n"), F.any_value(F.struct("em", "f1", "cover", "text", "category")).alias(p))
+    both = side(a, "a").join(side(b, "b"), key, "full_outer")
+    bad = F.col("an").isNull() | F.col("bn").isNull() | (F.col("an") > 1) | (F.col("bn") > 1)
+    both = both.withColumn("a", F.when(bad, F.raise_error(F.lit("the two runs must have the same unique ids"))).otherwise(F.col("a")))
+    both = both.withColumn("outcome", outcome(F.col("a.em") < 1, F.col("b.em") < 1, a_name, b_name))
+
+    def rows(own: str, other: str, name: str, other_name: str) -> DataFrame:
+        said = note(F.col(f"{own}.category"), F.col(f"{own}.cover"), F.col(f"{own}.text"), F.col("outcome") == "both_fail", other_name)
+        return both.where(F.col(f"{own}.em") < 1).select(key, F.lit(name).alias("method"), f"{own}.category", "outcome", said.alias("note"), f"{own}.f1", f"{own}.cover", F.col(f"{other}.f1").alias("other_f1"), F.col(f"{other}.cover").alias("other_cover"))
+
+    return rows("a", "b", a_name, b_name).unionByName(rows("b", "a", b_name, a_name))
+
+
 def representatives(rows: DataFrame, key: str, wishes: list[Column], limit: int = 5) -> DataFrame:
     """Up to limit rows: for each wish (a condition, in order of importance) the first row by key, each row once, then others by key."""
     best = F.coalesce(*[F.when(w, F.lit(i)) for i, w in enumerate(wishes)], F.lit(len(wishes)))

@@ -106,6 +106,46 @@ def method_summary(records: DataFrame, by: list[str], metrics: list[str], strict
     return records.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
 
 
+#: The means of a run's records: always there, and there for all records or for none.
+REQUIRED = ("answer_em", "answer_f1", "evidence_tokens", "retrieval_latency_ms", "packing_latency_ms", "generation_latency_ms", "total_latency_ms", "peak_rss_mb")
+OPTIONAL = ("support_em", "support_precision", "support_recall", "support_f1", "coverage_at_budget")
+
+
+def record_summary(records: DataFrame, by: list[str]) -> DataFrame:
+    """by, num_examples and the 13 means of a run's records.
+
+    A null in a required column is an error, as is an optional column that only some records of a
+    group have; an optional column without values has a null mean.
+    """
+    must = [F.when(F.count(c) < F.count("*"), F.raise_error(F.lit(f"{c} is missing in a record"))).otherwise(F.avg(c)).alias(c) for c in REQUIRED]
+    may = [F.when((F.count(c) > 0) & (F.count(c) < F.count("*")), F.raise_error(F.lit(f"{c} is null in some records of a group"))).otherwise(F.avg(c)).alias(c) for c in OPTIONAL]
+    return records.groupBy(*by).agg(F.count("*").alias("num_examples"), *must, *may)
+
+
+#: What a retrieval diagnostic must have one value of, and its means.
+RETRIEVAL_PROTOCOL = ("retrieval_mode", "retrieval_method", "retrieval_parameters", "tokenizer_identity", "corpus_id", "corpus_sha256", "query_population_sha256", "top_k", "query_role")
+RETRIEVAL_MEANS = ("recall", "all_gold", "any_gold", "mrr", "both_gold")
+
+
+def retrieval_summary(records: DataFrame, protocol: tuple[str, ...] = RETRIEVAL_PROTOCOL, latency: str | None = None) -> DataFrame:
+    """One row: the protocol's values, n and the means of ranking_metrics rows; means over the rows that have a value.
+
+    More than one value of a protocol column, a repeated or null query, or a negative latency is an error when it runs.
+    """
+    one = [F.when(F.count_distinct(F.to_json(F.struct(c))) > 1, F.raise_error(F.lit(f"records mix values of {c}"))).otherwise(F.any_value(c)).alias(c) for c in protocol]
+    n = F.when(F.count_distinct("query") < F.count("*"), F.raise_error(F.lit("queries must have different ids"))).otherwise(F.count("*")).alias("n")
+    late = [F.avg(F.when(F.col(latency) < 0, F.raise_error(F.lit("latencies must not be negative"))).otherwise(F.col(latency))).alias(latency)] if latency else []
+    return records.agg(*one, n, *[F.avg(c).alias(c) for c in RETRIEVAL_MEANS], *late)
+
+
+def unfair(candidates: DataFrame, packer: str, query: str, item: str, rank: str, score: str) -> DataFrame:
+    """(query, packer) of packers that got other candidates than the first packer (by name) of the same query: other items, order or scores. Empty if the comparison is fair."""
+    given = candidates.groupBy(query, packer).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(rank, item, score)))), 256).alias("given"))  # the top candidates of one query
+    first = given.groupBy(query).agg(F.min_by("given", packer).alias("first"))
+    everyone = first.crossJoin(F.broadcast(given.select(packer).distinct()))  # packers are few
+    return everyone.join(given, [query, packer], "left").where(~F.col("given").eqNullSafe(F.col("first"))).select(query, packer)
+
+
 def average_ranks(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """df with 0-based ranks of value, equal values sharing their mean rank; rows with a null value are left out.
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import paragraph_id
 from tessera.functions.text import joined, paragraph_text, token_list, tokens
 from tessera.runtime import counted_broadcast, materialize
 
@@ -85,7 +86,10 @@ class BM25Index:
 
 
 def build_index(corpus: DataFrame, key: str, k1: float = K1, b: float = B) -> BM25Index:
-    """Index over title and text of corpus (key, title, sentences); keys must be unique and not null."""
+    """Index over title and text of corpus (key, title, sentences); keys must be unique and not null.
+
+    The key also orders documents of equal score; a struct column gives several tie keys.
+    """
     check_parameters(k1, b)
     doc = corpus.select(F.col(key).alias("key"), tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), paragraph_text(F.col("sentences")))).alias("toks"))
     docs = doc.select("key", F.size("toks").alias("dl"))
@@ -94,6 +98,39 @@ def build_index(corpus: DataFrame, key: str, k1: float = K1, b: float = B) -> BM
     return BM25Index(docs, postings, stats, key, k1, b)
 
 
+def index_identity(index: BM25Index) -> dict:
+    """What an index was built on and with: parameters, documents, and an order-free digest of keys and lengths."""
+    d = index.docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(F.col("key"), F.col("dl")).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest")).first()
+    return {"k1": index.k1, "b": index.b, "n": d["n"], "digest": d["digest"]}
+
+
+def save_index(index: BM25Index, path: str) -> dict:
+    """Writes the index as tables, documents by key and postings by term, with its identity, which is returned."""
+    spark = index.docs.sparkSession
+    identity = index_identity(index)
+    index.docs.sortWithinPartitions("key").write.mode("errorifexists").parquet(f"{path}/docs")
+    index.postings.repartition("term").sortWithinPartitions("term").write.mode("errorifexists").parquet(f"{path}/postings")
+    row = (index.key, index.k1, index.b, identity["n"], identity["digest"])
+    spark.createDataFrame([row], "key string, k1 double, b double, n long, digest string").coalesce(1).write.mode("errorifexists").parquet(f"{path}/identity")
+    return identity
+
+
+def load_index(spark, path: str, digest: str | None = None) -> BM25Index:
+    """The index at path. Tables that don't fit its identity, or another digest than the given one, are refused."""
+    i = spark.read.parquet(f"{path}/identity").first()
+    docs, postings = spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings")
+    index = BM25Index(docs, postings, docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), i["key"], i["k1"], i["b"])
+    if index_identity(index)["digest"] != i["digest"] or digest not in (None, i["digest"]):
+        raise ValueError("the index doesn't belong to this corpus")
+    return index
+
+
+def content_id_problems(corpus: DataFrame, corpus_id: str = "corpus_id") -> DataFrame:
+    """(corpus_id, problem) of rows whose identifier isn't that of their title and text, or occurs more than once: an index by content refuses them."""
+    wrong = corpus.where(~F.col(corpus_id).eqNullSafe(paragraph_id(F.coalesce("title", F.lit("")), paragraph_text(F.col("sentences"))))).select(corpus_id, F.lit("not the hash of its content").alias("problem"))
+    return wrong.unionByName(corpus.groupBy(corpus_id).count().where("count > 1").select(corpus_id, F.lit("repeated").alias("problem")))
+
+
 def rank_corpus(index: BM25Index, queries: DataFrame, query_id: str, question: str, top_k: int = 5) -> DataFrame:
     """(query_id, key, rank, score): the top_k documents of the whole corpus for each query.
 

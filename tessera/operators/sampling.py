@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 from tessera.operators.stats import hash_bits
 
 
-def allocation(strata: DataFrame, size: int, label: str = "stratum") -> DataFrame:
-    """(label, n, take): proportional shares of a sample of `size` by largest remainder; ties go to the smaller label. strata: a row for each record."""
-    n = strata.groupBy(label).agg(F.count("*").alias("n"))
+def allocation(strata: DataFrame, size: int, label: str = "stratum", seen: str | None = None) -> DataFrame:
+    """(label, n, take): proportional shares of a sample of `size` by largest remainder. strata: a row for each record.
+
+    Ties go to the label seen first, by the smallest value of the ordinal column `seen`; without one, to the smaller label.
+    """
+    n = strata.groupBy(label).agg(F.count("*").alias("n"), (F.min(seen) if seen else F.lit(0)).alias("seen"))
     total = n.agg(F.sum("n").alias("total"))
     if size < 0:
         raise ValueError("size must not be negative")
     exact = n.crossJoin(F.broadcast(total)).withColumn("floor", F.expr(f"cast(floor(n * {size} / total) as long)")).withColumn("rest", F.expr(f"(n * {size}) % total"))
     left = F.lit(size) - F.sum("floor").over(Window.partitionBy())
-    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("rest"), label))
+    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("rest"), "seen", label))
     return exact.withColumn("left", left).withColumn("place", place).select(label, "n", (F.col("floor") + (F.col("place") <= F.col("left")).cast("long")).alias("take"))
 
 

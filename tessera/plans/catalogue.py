@@ -31,10 +31,22 @@ def query(sql: str | None = None):
 
 
 #: SQL of failed predictions with their labels, and the labels in order.
-_CAT = f"""{q.PRED}, c0 AS (SELECT *, {q.norm('evidence')} AS ne FROM pred WHERE em = 0),
+_SUP = f"""{q.PRED}, ln AS (SELECT generation_id, unnest(string_split(coalesce(evidence, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(evidence, ''), chr(10)), 1) AS i FROM pred),
+lt AS (SELECT *, max(CASE WHEN starts_with(x, 'Title: ') THEN i END) OVER (PARTITION BY generation_id ORDER BY i) AS ti FROM ln),
+lk AS (SELECT p.example_id, s.generation_id, coalesce(substr(t.x, 8), '') AS title, substr(s.x, 3) AS text FROM lt s JOIN pred p USING (generation_id) LEFT JOIN ln t ON t.generation_id = s.generation_id AND t.i = s.ti WHERE starts_with(s.x, '- ')),
+ge AS (SELECT * FROM (SELECT example_id, context, supporting_facts, row_number() OVER (PARTITION BY example_id ORDER BY split) AS k FROM ex) WHERE k = 1),
+gp AS (SELECT example_id, unnest(context) AS p, generate_subscripts(context, 1) AS pi FROM ge),
+gs AS (SELECT example_id, pi, coalesce(p.title, '') AS title, unnest(p.sentences) AS text, generate_subscripts(p.sentences, 1) - 1 AS sid FROM gp),
+gf AS (SELECT example_id, title, text, min(struct_pack(p := pi, s := sid)).s AS sid FROM gs GROUP BY ALL),
+sk AS (SELECT DISTINCT lk.generation_id, lk.title, gf.sid FROM lk JOIN gf ON gf.example_id = lk.example_id AND gf.title = lk.title AND gf.text = lk.text),
+gg AS (SELECT example_id, list_distinct(list_transform(coalesce(supporting_facts, []), lambda f: coalesce(f.title, chr(2)) || chr(1) || coalesce(f.sent_id::VARCHAR, chr(2)))) AS gold FROM ge),
+sp AS (SELECT generation_id, list(title || chr(1) || sid) AS keys FROM sk GROUP BY generation_id),
+sup AS (SELECT pred.*, len(coalesce(keys, [])) AS n_keys, len(gold) AS n_gold, len(list_intersect(coalesce(keys, []), gold)) AS hits, CASE WHEN len(gold) = 0 THEN 1.0 ELSE len(list_intersect(coalesce(keys, []), gold))::DOUBLE / len(gold) END AS cover FROM pred JOIN gg USING (example_id) LEFT JOIN sp USING (generation_id))"""
+_CAT = f"""{_SUP}, c0 AS (SELECT *, {q.norm('evidence')} AS ne FROM sup WHERE em = 0),
 c1 AS (SELECT *, np = 'insufficient evidence' AS ab, (ng <> '' AND contains(ne, ng)) AS known, (np <> '' AND contains(ne, np)) AS seen, {q.trm('np')} AS tp, {q.trm('ng')} AS tg, regexp_extract_all(coalesce(text, ''), '(\\d+)', 1) AS dp, regexp_extract_all(coalesce(answer, ''), '(\\d+)', 1) AS dg FROM c0),
-c2 AS (SELECT *, np <> '' AND ng <> '' AND (f1 >= 0.5 OR contains(np, ng) OR contains(ng, np) OR (len(dp) > 0 AND dp = dg) OR {q.jac('tp', 'tg')} >= 0.8) AS form, CASE WHEN known THEN 1.0 ELSE 0.0 END AS cover FROM c1),
-cat AS (SELECT generation_id, example_id, method, f1, CASE WHEN NOT ab AND form THEN 'formatting_mismatch' WHEN ab AND NOT known THEN 'support_missing' WHEN ab THEN 'support_present_answer_wrong' WHEN NOT known THEN 'insufficient_evidence_forced_answer' ELSE 'support_present_answer_wrong' END AS category FROM c2)"""
+c2 AS (SELECT *, np <> '' AND ng <> '' AND (f1 >= 0.5 OR contains(np, ng) OR contains(ng, np) OR (len(dp) > 0 AND dp = dg) OR {q.jac('tp', 'tg')} >= 0.8) AS form, cover > 0 AND cover < 1 AS part, cover >= 0.75 OR known AS whole, cover < 0.5 AND NOT known AS weak FROM c1),
+cat AS (SELECT generation_id, example_id, token_budget, method, em, f1, cover, text, CASE WHEN NOT ab AND form THEN 'formatting_mismatch' WHEN ab AND weak THEN 'support_missing' WHEN ab AND whole THEN 'support_present_answer_wrong' WHEN ab AND part THEN 'multi_hop_reasoning_failure' WHEN ab THEN 'support_present_answer_wrong'
+  WHEN weak THEN 'insufficient_evidence_forced_answer' WHEN qtype IN ('bridge', 'comparison') AND part AND NOT known THEN 'multi_hop_reasoning_failure' WHEN whole THEN 'support_present_answer_wrong' WHEN part THEN 'multi_hop_reasoning_failure' WHEN NOT seen AND f1 = 0 THEN 'hallucination' ELSE 'other' END AS category FROM c2)"""
 _LABELS = "[" + ",".join(f"'{c}'" for c in errors.CATEGORIES) + "]"
 
 
@@ -69,6 +81,15 @@ def predictions(spark, sf) -> DataFrame:
     return p.withColumn("em", metrics.exact_match(F.col("text"), F.col("answer"))).withColumn("f1", metrics.answer_f1(F.col("text"), F.col("answer")))
 
 
+def supported(spark, sf) -> DataFrame:
+    """predictions with keys, the support keys that the evidence holds, gold, those of the example's first split, and cover, the share of gold that is held."""
+    e = examples(spark, sf).select("example_id", "split", text.sentence_list(F.col("context")).alias("sentences"), F.col("supporting_facts").alias("gold"))
+    first = e.groupBy("example_id").agg(F.min_by(F.struct("sentences", "gold"), "split").alias("s"))
+    p = predictions(spark, sf).join(first, "example_id")
+    p = p.withColumn("keys", text.evidence_keys(F.col("evidence"), F.col("s.sentences"))).withColumn("gold", F.col("s.gold")).drop("s")
+    return p.withColumn("cover", metrics.coverage(F.col("keys"), F.col("gold")))
+
+
 def ranked(spark, sf) -> DataFrame:
     return retrieval.rank_context(examples(spark, sf).select("eid", "question", "qtype", "context", "supporting_facts"))
 
@@ -147,23 +168,46 @@ def bm25_context_topk(spark, sf):
 _HUNDREDTH = "('0x' || substr(md5(example_id), 1, 8))::BIGINT % 100 = 0"
 
 
-@query(f"""WITH {q.EX}, {q.COR},
+_GLOBAL = f"""WITH {q.EX}, {q.COR},
 qs AS (SELECT eid, question FROM ex WHERE {_HUNDREDTH}),
-d AS (SELECT paragraph_id, {q.tok("coalesce(title, '') || ' ' || " + q.para('sentences'))} AS toks FROM cor),
+d AS (SELECT paragraph_id, document_id, {q.tok("coalesce(title, '') || ' ' || " + q.para('sentences'))} AS toks FROM cor),
 s AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS avgdl FROM d),
 q AS (SELECT eid, t, count(*) AS qf FROM (SELECT eid, unnest({q.tok('question')}) AS t FROM qs) GROUP BY eid, t),
 tf AS (SELECT paragraph_id, t, count(*)::DOUBLE AS tf FROM (SELECT paragraph_id, unnest(toks) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY paragraph_id, t),
 df AS (SELECT t, count(*)::DOUBLE AS df FROM tf GROUP BY t),
 sc AS (SELECT q.eid, tf.paragraph_id, {q._bm()} AS score FROM tf JOIN q USING (t) JOIN df USING (t) JOIN (SELECT paragraph_id, len(toks) AS dl FROM d) l USING (paragraph_id), s GROUP BY q.eid, tf.paragraph_id),
-fill AS (SELECT eid, paragraph_id, 0.0 AS score FROM qs, (SELECT paragraph_id FROM d ORDER BY 1 LIMIT 5) f WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.eid = qs.eid AND sc.paragraph_id = f.paragraph_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY round(score, 9) DESC, paragraph_id) AS rank FROM (SELECT * FROM sc UNION ALL SELECT * FROM fill))
-SELECT eid, paragraph_id, rank::INTEGER AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
+fill AS (SELECT eid, paragraph_id, 0.0 AS score FROM qs, (SELECT paragraph_id FROM d ORDER BY document_id, paragraph_id LIMIT 5) f WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.eid = qs.eid AND sc.paragraph_id = f.paragraph_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY round(score, 9) DESC, document_id, paragraph_id) AS rank FROM (SELECT * FROM sc UNION ALL SELECT * FROM fill) JOIN (SELECT paragraph_id, document_id FROM d) USING (paragraph_id))
+"""
+
+
+@query(_GLOBAL + "SELECT eid, paragraph_id, rank::INTEGER AS rank, round(score, 6) AS score FROM r WHERE rank <= 5")
 def bm25_global_topk(spark, sf):
-    """Searches with every example whose hashed id is divisible by 100, against the whole corpus."""
-    qs = examples(spark, sf).where(F.pmod(F.conv(F.substring(F.md5("example_id"), 1, 8), 16, 10).cast("long"), F.lit(100)) == 0)
-    index = retrieval.build_index(paragraphs(spark, sf), "paragraph_id")
-    r = retrieval.rank_corpus(index, qs, "eid", "question")
-    return r.select("eid", "paragraph_id", "rank", F.round("score", 6).alias("score"))
+    """Searches with every example whose hashed id is divisible by 100, against the whole corpus; equal scores by document, then paragraph."""
+    return _global(spark, sf).select("eid", "paragraph_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _queries(spark, sf) -> DataFrame:
+    return examples(spark, sf).where(F.pmod(F.conv(F.substring(F.md5("example_id"), 1, 8), 16, 10).cast("long"), F.lit(100)) == 0)
+
+
+def _global(spark, sf) -> DataFrame:
+    docs = paragraphs(spark, sf).withColumn("key", F.struct("document_id", "paragraph_id"))
+    r = retrieval.rank_corpus(retrieval.build_index(docs, "key"), _queries(spark, sf), "eid", "question")
+    return r.select("eid", F.col("key.paragraph_id").alias("paragraph_id"), "rank", "score")
+
+
+@query(_GLOBAL + """, gd AS (SELECT DISTINCT eid, paragraph_id FROM (SELECT paragraph_id, unnest(source_example_ids) AS example_id FROM cor) JOIN ex USING (example_id) WHERE eid IN (SELECT eid FROM qs)),
+g AS (SELECT gd.eid, count(*) AS n_gold, count(r.rank) AS hits, min(r.rank) AS first FROM gd LEFT JOIN r ON r.eid = gd.eid AND r.paragraph_id = gd.paragraph_id AND r.rank <= 5 GROUP BY gd.eid)
+SELECT 'global_corpus' AS retrieval_mode, 'bm25' AS retrieval_method, 5 AS top_k, count(*) AS n, round(avg(hits::DOUBLE / n_gold), 6) AS recall, round(avg((hits = n_gold)::DOUBLE), 6) AS all_gold, round(avg((hits > 0)::DOUBLE), 6) AS any_gold, round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr, round(avg(CASE WHEN n_gold = 2 THEN (hits = 2)::DOUBLE END), 6) AS both_gold FROM g""")
+def global_retrieval(spark, sf):
+    """Evaluation of the corpus search against the paragraphs that each query's example came from: one row with its protocol and means."""
+    r = materialize(_global(spark, sf), "retrieved")
+    qs = _queries(spark, sf).select("example_id", "eid")
+    gold = paragraphs(spark, sf).select("paragraph_id", F.explode("source_example_ids").alias("example_id")).join(qs, "example_id").select("eid", "paragraph_id")
+    m = metrics.ranking_metrics(r, gold, "eid", "paragraph_id").withColumns({"query": F.col("eid"), "retrieval_mode": F.lit("global_corpus"), "retrieval_method": F.lit("bm25"), "top_k": F.lit(5)})
+    t = metrics.retrieval_summary(m, ("retrieval_mode", "retrieval_method", "top_k"))
+    return t.select("retrieval_mode", "retrieval_method", "top_k", "n", *[F.round(c, 6).alias(c) for c in metrics.RETRIEVAL_MEANS])
 
 
 @query(f"""WITH {q.RANKED},
@@ -556,10 +600,52 @@ def record_problems(spark, sf):
 
 
 def failures(spark, sf) -> DataFrame:
-    """Wrong predictions with their error category; coverage is whether the gold answer stands in the evidence."""
-    p = predictions(spark, sf).where("em = 0")
-    cover = text.contains_answer(F.col("answer"), F.col("evidence")).cast("double")
-    return p.select("generation_id", "example_id", "method", "f1", errors.category(F.col("text"), F.col("answer"), F.col("evidence"), F.col("f1"), cover, F.col("qtype")).alias("category"))
+    """Wrong predictions with their error category; coverage is that of the evidence's sentences against the supporting facts."""
+    p = supported(spark, sf).where("em = 0")
+    return p.select("generation_id", "example_id", "token_budget", "method", "em", "f1", "cover", "text", errors.category(F.col("text"), F.col("answer"), F.col("evidence"), F.col("f1"), F.col("cover"), F.col("qtype")).alias("category"))
+
+
+@query(f"WITH {_SUP} SELECT generation_id, n_keys::INTEGER AS n_keys, round(cover, 9) AS cover FROM sup")
+def evidence_coverage(spark, sf):
+    """How many support keys each answer's evidence holds, and its share of the gold ones."""
+    return supported(spark, sf).select("generation_id", F.size("keys").alias("n_keys"), F.round("cover", 9).alias("cover"))
+
+
+@query(f"""WITH {_SUP}, x AS (SELECT *, CASE WHEN n_keys = 0 AND n_gold = 0 THEN 1.0 WHEN n_keys = 0 OR n_gold = 0 THEN 0.0 END AS edge, {q.spaces('evidence')} AS tokens FROM sup)
+SELECT method, token_budget, count(*) AS n, round(avg(em), 6) AS answer_em, round(avg(f1), 6) AS answer_f1, round(avg(coalesce(edge, (hits = n_keys AND hits = n_gold)::DOUBLE)), 6) AS support_em, round(avg(coalesce(edge, hits::DOUBLE / n_keys)), 6) AS support_precision,
+round(avg(coalesce(edge, hits::DOUBLE / n_gold)), 6) AS support_recall, round(avg(coalesce(edge, 2.0 * hits / (n_keys + n_gold))), 6) AS support_f1, round(avg(cover), 6) AS coverage, round(avg(tokens), 6) AS evidence_tokens FROM x GROUP BY method, token_budget""")
+def run_summary(spark, sf):
+    """Means of answer and support metrics, coverage and evidence size of each method and budget."""
+    p = supported(spark, sf)
+    p = p.select("method", "token_budget", F.col("em").alias("answer_em"), F.col("f1").alias("answer_f1"), *[v.alias(f"support_{k}") for k, v in metrics.support_metrics(F.col("keys"), F.col("gold")).items()], F.col("cover").alias("coverage"), text.space_count(F.col("evidence")).alias("evidence_tokens"))
+    means = [c for c in p.columns if c not in ("method", "token_budget")]
+    return metrics.method_summary(p, ["method", "token_budget"], means).select("method", "token_budget", "n", *[F.round(c, 6).alias(c) for c in means])
+
+
+@query(f"""WITH {_CAT}, o AS (SELECT example_id || ':' || token_budget AS unit, method, arg_min(struct_pack(id := generation_id, em := em, f1 := f1, cover := cover, text := text), generation_id) AS r FROM sup WHERE method IN ('cover', 'echo') AND token_budget IS NOT NULL GROUP BY ALL),
+b AS (SELECT x.unit, x.method, y.method AS other, x.r, y.r AS s FROM o x JOIN o y ON x.unit = y.unit AND x.method <> y.method WHERE x.r.em < 1),
+t AS (SELECT b.*, c.category, CASE WHEN s.em < 1 THEN 'both_fail' ELSE b.method || '_fail_only' END AS outcome, printf('%.2f', r.cover) AS c FROM b JOIN cat c ON c.generation_id = r.id)
+SELECT unit, method, category, outcome, CASE category WHEN 'support_missing' THEN 'Coverage is ' || c || '; the packed context misses key support and the model abstains.' WHEN 'support_present_answer_wrong' THEN 'Answer evidence is present enough (coverage ' || c || '), but the model still outputs ' || chr(39) || coalesce(r.text, '') || chr(39) || '.'
+  WHEN 'formatting_mismatch' THEN 'The prediction overlaps with the gold answer but fails normalization-sensitive scoring.' WHEN 'hallucination' THEN 'The prediction is not grounded in the packed evidence excerpt.' WHEN 'multi_hop_reasoning_failure' THEN 'Coverage is ' || c || '; the chain is only partly preserved and the model fails to connect it.'
+  WHEN 'insufficient_evidence_forced_answer' THEN 'Coverage is ' || c || '; the model commits to a concrete answer instead of abstaining.' ELSE 'The failure does not fit the main taxonomy cleanly.' END || ' The paired ' || other || CASE WHEN outcome = 'both_fail' THEN ' run also fails on this example.' ELSE ' run succeeds on this example.' END AS note,
+round(r.f1, 9) AS f1, round(r.cover, 9) AS cover, round(s.f1, 9) AS other_f1, round(s.cover, 9) AS other_cover FROM t""")
+def failure_table(spark, sf):
+    """Every failure of cover and echo on the examples and budgets that both answered, with label, paired outcome and note."""
+    p = supported(spark, sf).where("method in ('cover', 'echo') and token_budget is not null").withColumn("unit", F.concat_ws(":", "example_id", "token_budget"))
+    label = F.when(F.col("em") < 1, errors.category(F.col("text"), F.col("answer"), F.col("evidence"), F.col("f1"), F.col("cover"), F.col("qtype")))
+    one = p.groupBy("unit", "method").agg(F.min_by(F.struct("em", "f1", "cover", "text", label.alias("category")), "generation_id").alias("r")).select("unit", "method", "r.*")
+    one = materialize(one, "answers")
+    a, b = one.where("method = 'cover'"), one.where("method = 'echo'")
+    t = errors.failure_table(a.join(b.select("unit"), "unit", "left_semi"), b.join(a.select("unit"), "unit", "left_semi"), "unit", "cover", "echo")
+    return t.select("unit", "method", "category", "outcome", "note", *[F.round(c, 9).alias(c) for c in ("f1", "cover", "other_f1", "other_cover")])
+
+
+@query()
+def spearman_interval(spark, sf):
+    """Rank correlation of evidence coverage and answer F1 within each method, with its resampled interval."""
+    p = supported(spark, sf).where("method is not null").select("method", "generation_id", "cover", "f1")
+    t = stats.spearman_interval(p, "cover", "f1", ["method"], "generation_id")
+    return t.select("method", "n", *[F.round(c, 6).alias(c) for c in ("rho", "low", "high")])
 
 
 @query(f"WITH {_CAT} SELECT generation_id, method, category FROM cat")

@@ -69,6 +69,35 @@ def normalize_pairs(text: DataFrame, column: str = "value") -> DataFrame:
     return text.select(F.coalesce(get("_id"), get("id")).alias("example_id"), get("question").alias("question"), get("answer").alias("answer"), get("type").alias("qtype"), get("level").alias("level"), F.coalesce(from_pairs, from_cols).cast(CONTEXT).alias("context"), F.coalesce(facts_p, facts_c).cast(FACTS).alias("supporting_facts"))
 
 
+def strict(df: DataFrame) -> DataFrame:
+    """Adapted records with outer white space removed; a record that breaks a rule is an error when it runs.
+
+    Rules: id, question and answer aren't blank; there are paragraphs, with different titles that
+    aren't blank and sentences that aren't null; there are facts, each once, each naming a title of
+    the context and one of its sentences.
+    """
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s+$", "")
+    df = df.withColumns({
+        **{c: strip(F.col(c)) for c in ("example_id", "question", "answer")},
+        "context": F.transform("context", lambda p: F.struct(strip(p["title"]).alias("title"), F.transform(p["sentences"], strip).alias("sentences"))),
+        "supporting_facts": F.transform("supporting_facts", lambda f: F.struct(strip(f["title"]).alias("title"), f["sent_id"].alias("sent_id"))),
+        "qtype": F.coalesce("qtype", F.lit("unknown")), "level": F.coalesce("level", F.lit("unknown")),
+    })
+    unnamed = F.exists("context", lambda p: p["title"].isNull() | (p["title"] == "") | p["sentences"].isNull() | F.exists(p["sentences"], lambda s: s.isNull()))
+    titles = F.transform("context", lambda p: p["title"])
+    known = lambda f: F.exists("context", lambda p: (p["title"] == f["title"]) & (f["sent_id"] >= 0) & (f["sent_id"] < F.size(p["sentences"])))
+    rules = {
+        "id, question and answer must not be blank": F.greatest(*[(F.coalesce(c, F.lit("")) == "") for c in ("example_id", "question", "answer")]),
+        "paragraphs are needed": F.coalesce(F.size("context"), F.lit(0)) <= 0,
+        "titles must not be blank nor sentences null": unnamed, "titles must be different": F.size(F.array_distinct(titles)) < F.size(titles),
+        "supporting facts are needed": F.coalesce(F.size("supporting_facts"), F.lit(0)) <= 0,
+        "facts must name a sentence of the context": F.exists("supporting_facts", lambda f: ~F.coalesce(known(f), F.lit(False))), "facts must be different": F.size(F.array_distinct("supporting_facts")) < F.size("supporting_facts"),
+    }
+    broken = F.coalesce(*[F.when(F.coalesce(c, F.lit(True)), F.lit(m)) for m, c in rules.items()])
+    ok = F.when(broken.isNotNull(), F.raise_error(F.concat(F.coalesce("example_id", F.lit("null")), F.lit(": "), broken))).otherwise(F.col("example_id"))
+    return df.withColumn("example_id", ok)
+
+
 def problems(df: DataFrame, key: str = "example_id") -> DataFrame:
     """(key, problem) of records that break a rule: blank question or answer, no context, repeated titles, facts of no title, sentence out of range, repeated facts."""
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
