@@ -9,7 +9,7 @@ import sys
 from pathlib import Path
 
 from tessera.operators import provenance, sampling
-from tessera.plans import catalogue
+from tessera.plans import catalogue, statistics
 from tessera.runtime import session
 from tessera.sources import records
 
@@ -54,6 +54,11 @@ def _verify(a: argparse.Namespace) -> None:
     print("the manifest is intact")
 
 
+def _statistics(a: argparse.Namespace) -> None:
+    doc = statistics.run(session(), json.loads(Path(a.plan).read_text(encoding="utf-8")), a.out, a.few_replicates)
+    (Path(a.out) / "statistics_manifest.json").write_text(json.dumps(doc, indent=2), encoding="utf-8")
+
+
 def _environment(a: argparse.Namespace) -> None:
     import numpy
     import pyarrow
@@ -81,6 +86,7 @@ def main(argv: list[str] | None = None) -> None:
     command("preprocess", _preprocess, ("--raw", need), ("--out", need), ("--limit", {"type": int}))
     command("freeze", _freeze, ("--config", need), ("--manifest", need), ("--out", need))
     command("verify-frozen", _verify, ("frozen", {}))
+    command("statistics", _statistics, ("--plan", need), ("--out", need), ("--few-replicates", {"action": "store_true"}))
     command("check-environment", _environment)
     a = p.parse_args(argv)
     a.f(a)

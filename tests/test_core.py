@@ -212,6 +212,164 @@ def test_sources(spark, tmp_path):
     assert not records.write_csv(spark.createDataFrame([], "a string"), str(tmp_path / "none")) and records.read_csv(spark, str(tmp_path / "none")) is None
 
 
+def test_seeded_sign_test_draws_bytes():
+    d = np.random.default_rng(5).normal(0.1, 1, 60)
+    for replicates in (256, 700):
+        rng, hits, done = np.random.default_rng(42), 0, 0
+        while done < replicates:
+            m = min(256, replicates - done)
+            hits += sum(abs(float(np.mean((2.0 * s - 1.0) * d))) >= abs(d.mean()) - 1e-15 for s in rng.integers(0, 2, size=(m, 60), dtype=np.int8))
+            done += m
+        assert stats.sign_test(d, replicates) == pytest.approx((hits + 1) / (replicates + 1))
+
+
+def test_exact_sign_test_in_columns_and_in_numpy(spark):
+    rows = [(g, x) for g, xs in {"a": [1.0] * 5, "b": [0.5, -0.25, 0.0, 1.0], "c": [0.1] * 30}.items() for x in xs]
+    got = {r.g: r.p_value for r in stats.sign_test_exact(spark.createDataFrame(rows, "g string, diff double"), ["g"]).collect()}
+    assert set(got) == {"a", "b"} and all(got[g] == pytest.approx(stats.sign_test([x for h, x in rows if h == g])) for g in got)
+
+
+def test_totals_ranks_and_percentiles_over_ranges(spark):
+    from tessera.runtime import running_total
+
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]), float(r.randrange(12)), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, v double, i int").repartition(5)
+    got = {x.i: x.before for x in running_total(df, ["g"], "i").collect()}
+    assert got == {i: sum(h == g and j < i for h, _, j in rows) for g, _, i in rows}
+    for x in metrics.average_ranks(df, "v", "rank", ["g"]).collect():
+        own = [v for g, v, _ in rows if g == x.g]
+        assert x["rank"] == sum(v < x.v for v in own) + (own.count(x.v) - 1) / 2
+    s = {x.g: x for x in systems.latency_summary(df.where("g is not null"), ["g"], "v").collect()}
+    for g in "ab":
+        own = [v for h, v, _ in rows if h == g]
+        assert (s[g].p50_ms, s[g].p95_ms, s[g].std_ms) == tuple(pytest.approx(x) for x in (np.quantile(own, 0.5), np.quantile(own, 0.95), np.std(own)))
+    assert running_total(df.limit(0), ["g"], "i").count() == 0
+
+
+def test_first_deliveries(spark):
+    rows = [("a", 2, "late"), ("a", 1, "early"), ("a", 1, "early"), ("b", None, "x"), ("b", 5, "y"), (None, 1, "n"), (None, 2, "m"), ("c", None, "only")]
+    df = spark.createDataFrame(rows, "k string, ingested_at int, v string")
+    from tessera.runtime import first_delivery
+
+    assert sorted(map(str, (r.v for r in first_delivery(df, ["k"]).collect()))) == ["early", "n", "only", "y"]
+    assert first_delivery(df.limit(0), ["k"]).count() == 0
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark, monkeypatch):
+    from tessera import runtime
+
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "i int, t string")
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(runtime.counted_broadcast(df)) and not hinted(runtime.counted_broadcast(df, limit=49))
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 4000)
+    assert not hinted(runtime.counted_broadcast(df)) and not hinted(runtime.counted_broadcast(df, 50)) and hinted(runtime.counted_broadcast(df.select("i")))
+
+
+def test_evidence_gives_back_its_keys(spark):
+    ctx = [("T", ["a b", "c"]), (None, ["d"]), ("U", None)]
+    picked = [("T", "c"), ("", "d"), ("T", "zz"), ("T", "c")]
+    df = spark.createDataFrame([(ctx, picked), (None, [])], "context array<struct<title:string,sentences:array<string>>>, sel array<struct<title:string,text:string>>").withColumn("e", text.render(F.col("sel")))
+    got = [[tuple(k) for k in r[0]] for r in df.select(text.evidence_keys(F.col("e"), text.sentence_list(F.col("context")))).collect()]
+    assert got == [[("T", 1), ("", 0)], []]
+    assert df.select(text.evidence_keys(F.lit(None).cast("string"), text.sentence_list(F.col("context")))).first()[0] == []
+
+
+def test_strict_records(spark):
+    good = {"_id": " p1 ", "question": "Q", "answer": "A", "context": [["T", ["a ", ""]]], "supporting_facts": [["T", 1]]}
+    read = lambda **k: records.strict(records.normalize_pairs(spark.createDataFrame([(json.dumps({**good, **k}),)], "value string"))).collect()
+    r = read()[0]
+    assert (r.example_id, r.context[0].sentences, r.qtype, r.level) == ("p1", ["a", ""], "unknown", "unknown")
+    for bad in ({"question": " "}, {"answer": None}, {"context": []}, {"context": [["T", ["a"]], ["T", ["b"]]]}, {"supporting_facts": []}, {"supporting_facts": [["T", 2]]}, {"supporting_facts": [["V", 0]]}, {"supporting_facts": [["T", 1], ["T", 1]]}, {"context": "text"}):
+        with pytest.raises(Exception, match="p1"):
+            read(**bad)
+
+
+def test_saved_index_ranks_alike_and_knows_its_corpus(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "p2", "Mill", ["old mill"]), ("d1", "p1", "Mill", ["old mill"]), ("d0", "p9", "Mill", ["old mill"]), ("d5", "p5", "Dam", ["new dam"])], "document_id string, paragraph_id string, title string, sentences array<string>").withColumn("key", F.struct("document_id", "paragraph_id"))
+    index = retrieval.build_index(docs, "key")
+    identity = retrieval.save_index(index, str(tmp_path / "i"))
+    qs = spark.createDataFrame([("q", "mill"), ("n", None)], "qid string, question string")
+    for i in (index, retrieval.load_index(spark, str(tmp_path / "i"), identity["digest"])):
+        got = [(r.qid, r.key.paragraph_id) for r in retrieval.rank_corpus(i, qs, "qid", "question", 3).orderBy("qid", "rank").collect()]
+        assert got == [("n", "p9"), ("n", "p1"), ("n", "p2"), ("q", "p9"), ("q", "p1"), ("q", "p2")]
+    with pytest.raises(ValueError, match="belong"):
+        retrieval.load_index(spark, str(tmp_path / "i"), "1")
+    c = corpus.paragraph_corpus(spark.createDataFrame([("e", [("T", ["a"])])], "example_id string, context array<struct<title:string,sentences:array<string>>>"))
+    assert retrieval.content_id_problems(c).count() == 0 and {r.problem for r in retrieval.content_id_problems(c.unionByName(c.withColumn("title", F.lit("V")))).collect()} == {"not the hash of its content", "repeated"}
+
+
+def test_fair_candidates_and_retrieval_summaries(spark):
+    rows = [(q, p, f"i{k}", k, 1.0 / (k + 1)) for q in ("q1", "q2") for p in ("mmr", "cover") for k in range(3)]
+    df = spark.createDataFrame(rows, "q string, packer string, item string, rank int, score double")
+    assert metrics.unfair(df, "packer", "q", "item", "rank", "score").count() == 0
+    other = df.withColumn("score", F.when((F.col("q") == "q2") & (F.col("packer") == "mmr"), 0.5).otherwise(F.col("score"))).where("not (q = 'q1' and packer = 'mmr')")
+    assert {tuple(r) for r in metrics.unfair(other, "packer", "q", "item", "rank", "score").collect()} == {("q1", "mmr"), ("q2", "mmr")}
+    m = spark.createDataFrame([("a", 1.0, 1.0, 1.0, 1.0, None, "x", 3.0), ("b", 0.0, 0.0, 0.0, 0.0, 1.0, "x", 5.0)], "query string, recall double, all_gold double, any_gold double, mrr double, both_gold double, corpus_id string, ms double")
+    r = metrics.retrieval_summary(m, ("corpus_id",), "ms").first()
+    assert (r.n, r.recall, r.both_gold, r.ms, r.corpus_id) == (2, 0.5, 1.0, 4.0, "x")
+    for bad in (m.withColumn("corpus_id", F.col("query")), m.withColumn("query", F.lit("a")), m.withColumn("ms", F.lit(-1.0))):
+        with pytest.raises(Exception):
+            metrics.retrieval_summary(bad, ("corpus_id",), "ms").collect()
+    facts = spark.createDataFrame([("e", "T", 0), ("e", "T", 1), ("e", "U", 0)], "id string, title string, sent_id int")
+    ids = spark.createDataFrame([("T", 0, "p1"), ("T", 1, "p1"), ("U", 0, "p0")], "title string, sent_id int, paragraph_id string")
+    assert corpus.fact_paragraphs(facts, ids, "id").first().paragraph_ids == ["p0", "p1"]
+    with pytest.raises(Exception, match="no paragraph"):
+        corpus.fact_paragraphs(facts, ids.where("title = 'T'"), "id").collect()
+
+
+def test_record_summary_wants_whole_columns(spark):
+    cols = [*metrics.REQUIRED, *metrics.OPTIONAL]
+    row = lambda v, o: ("m", *[v] * len(metrics.REQUIRED), *[o] * len(metrics.OPTIONAL))
+    df = lambda *rows: spark.createDataFrame(list(rows), "method string, " + ", ".join(f"{c} double" for c in cols))
+    r = metrics.record_summary(df(row(1.0, None), row(2.0, None)), ["method"]).first()
+    assert r.num_examples == 2 and r.peak_rss_mb == 1.5 and r.support_f1 is None
+    for bad in (df(row(1.0, 1.0), row(2.0, None)), df(row(1.0, 1.0), row(None, 1.0))):
+        with pytest.raises(Exception, match="missing|null"):
+            metrics.record_summary(bad, ["method"]).collect()
+
+
+def test_failure_table_wants_one_population(spark):
+    a = spark.createDataFrame([("1", 0.0, 0.5, 0.125, "x", "other"), ("2", 1.0, 1.0, 1.0, "y", None)], "id string, em double, f1 double, cover double, text string, category string")
+    b = a.withColumn("em", F.lit(0.0)).withColumn("category", F.lit("support_missing"))
+    t = {(r.id, r.method): (r.outcome, r.note) for r in errors.failure_table(a, b, "id", "a", "b").collect()}
+    assert t["1", "a"] == ("both_fail", "The failure does not fit the main taxonomy cleanly. The paired b run also fails on this example.")
+    assert t["1", "b"][1].startswith("Coverage is 0.12;") and t["2", "b"][0] == "b_fail_only" and len(t) == 3
+    with pytest.raises(Exception, match="same unique ids"):
+        errors.failure_table(a, b.where("id = '1'"), "id", "a", "b").collect()
+
+
+def test_rank_correlation_interval(spark):
+    rows = [("g", i, float(i), float(i * i % 17)) for i in range(40)] + [("g", 99, None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, id int, x double, y double")
+    r = stats.spearman_interval(df, "x", "y", ["g"], "id", 200).first()
+    assert r.n == 40 and r.low <= r.rho <= r.high and r.rho == pytest.approx(stats.spearman(df.where("x is not null"), "x", "y", ["g"]).first().rho)
+
+
+def test_statistics_plan(spark, tmp_path):
+    from tessera.plans import statistics
+
+    r = random.Random(3)
+    order = r.sample(range(40), 40)
+    runs = {}
+    for c in ("base", "x"):
+        runs[c] = [{"example_id": f"e{i:02d}", "method": c, "answer_em": float(r.random() < 0.5), "answer_f1": round(r.random(), 3), "token_budget": 160} for i in order]
+        (tmp_path / c).write_text("\n".join(json.dumps(x) for x in runs[c]))
+    plan = {"runs": [{"config_id": c, "method": c, "predictions": str(tmp_path / c)} for c in runs], "num_examples": 40, "protocol": {"token_budget": 160}, "bootstrap_replicates": 300, "permutation_replicates": 300, "holm_bonferroni": True}
+    with pytest.raises(ValueError, match="replicates"):
+        statistics.check_plan(plan)
+    doc = statistics.run(spark, plan, str(tmp_path / "out"), few_replicates=True)
+    t = {x.metric: x for x in spark.read.option("header", True).option("inferSchema", True).csv(doc["tables"][1]).collect()}
+    d = np.array([b["answer_f1"] - a["answer_f1"] for a, b in zip(runs["base"], runs["x"])])  # in the order of the files
+    rng = np.random.default_rng(42)
+    means = np.concatenate([d[rng.integers(0, 40, (m, 40))].mean(1) for m in (256, 44)])
+    assert t["answer_f1"].p_value == pytest.approx(stats.sign_test(d, 300)) and t["answer_f1"].low == pytest.approx(np.quantile(means, 0.025)) and t["answer_em"].test == "mcnemar_exact_two_sided"
+    assert spark.read.option("header", True).csv(doc["tables"][0]).count() == 4
+    (tmp_path / "x").write_text("\n".join(json.dumps({**x, "token_budget": 96}) for x in runs["x"]))
+    with pytest.raises(Exception, match="protocol"):
+        statistics.run(spark, plan, str(tmp_path / "out2"), few_replicates=True)
+
+
 def test_stream_appends_each_key_once(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
