@@ -76,14 +76,6 @@ def fingerprints(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.add.reduceat(mix(flat), starts), np.add.reduceat(mix(mix(flat ^ np.uint64(0x5851F42D4C957F2D))), starts)
 
 
-def word_hashes(text: Column) -> Column:
-    """The distinct words (maximal runs of letters and digits of the lower-cased text) as 64-bit hashes.
-
-    Null text gives null; a text without words gives an empty array.
-    """
-    return F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))), lambda w: F.xxhash64(w))
-
-
 def joined_text(title: Column, sentences: Column) -> Column:
     """Title and all sentences joined by spaces; nulls are left out."""
     return F.concat_ws(" ", title, F.array_join(sentences, " "))

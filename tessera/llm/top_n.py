@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Groups held by one task before their heaps are emitted; a group emitted twice is merged later.
-FLUSH_GROUPS = 200_000
+FLUSH_GROUPS = 50_000
 _NO_RANK = 1 << 40
 
 
