@@ -8,7 +8,9 @@ import platform
 import sys
 from pathlib import Path
 
-from tessera.operators import provenance, sampling
+from tessera import config
+from tessera.functions import generation, text
+from tessera.operators import packing, provenance, retrieval, sampling
 from tessera.plans import catalogue, statistics
 from tessera.runtime import session
 from tessera.sources import records
@@ -54,6 +56,21 @@ def _verify(a: argparse.Namespace) -> None:
     print("the manifest is intact")
 
 
+def _pack(a: argparse.Namespace) -> None:
+    provenance.require_empty(a.out)
+    s = config.load(a.config)
+    e = catalogue.examples(session(), a.data)
+    if s.split.manifest:
+        e = e.where(e["example_id"].isin(records.split_ids(s.split.manifest)))
+    else:
+        e = e.where(e["split"] == s.split.name)
+    ranked = retrieval.rank_context(e.select("eid", "question", "context"), s.retrieval.top_k, s.retrieval.k1, s.retrieval.b)
+    p = packing.pack(packing.candidates(ranked), "eid", [s.packing], ["question"])
+    evidence = text.render(p["selected"])
+    p.select("eid", "config_id", "method", "budget", "used_tokens", evidence.alias("evidence"), generation.completion(p["question"], evidence, s.prompting.system, s.prompting.instruction).alias("prompt")).write.parquet(f"{a.out}/packed")
+    (Path(a.out) / "settings.json").write_text(json.dumps(s.resolved(), indent=2), encoding="utf-8")
+
+
 def _statistics(a: argparse.Namespace) -> None:
     doc = statistics.run(session(), json.loads(Path(a.plan).read_text(encoding="utf-8")), a.out, a.few_replicates)
     (Path(a.out) / "statistics_manifest.json").write_text(json.dumps(doc, indent=2), encoding="utf-8")
@@ -86,6 +103,7 @@ def main(argv: list[str] | None = None) -> None:
     command("preprocess", _preprocess, ("--raw", need), ("--out", need), ("--limit", {"type": int}))
     command("freeze", _freeze, ("--config", need), ("--manifest", need), ("--out", need))
     command("verify-frozen", _verify, ("frozen", {}))
+    command("pack", _pack, ("--config", need), ("--data", need), ("--out", need))
     command("statistics", _statistics, ("--plan", need), ("--out", need), ("--few-replicates", {"action": "store_true"}))
     command("check-environment", _environment)
     a = p.parse_args(argv)

@@ -15,15 +15,28 @@ NO_EVIDENCE, ABSTAIN = "No evidence provided.", "insufficient evidence"
 SYSTEM = "Answer the question from the evidence only. Reply with the shortest answer, or with 'insufficient evidence'."
 
 
-def prompt(question: Column, evidence: Column) -> Column:
-    """The user part of the prompt."""
-    given = F.when(F.trim(F.coalesce(evidence, F.lit(""))) == "", F.lit(NO_EVIDENCE)).otherwise(evidence)
-    return F.concat(F.lit("Question: "), F.coalesce(question, F.lit("")), F.lit("\n\nEvidence:\n"), given, F.lit("\n\nAnswer:"))
+def _strip(x: Column) -> Column:
+    return F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
-def messages(question: Column, evidence: Column) -> Column:
-    """The prompt as a list of structs (role, content)."""
-    return F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM).alias("content")), F.struct(F.lit("user").alias("role"), prompt(question, evidence).alias("content")))
+def prompt(question: Column, evidence: Column, instruction: str = "") -> Column:
+    """The user part of the prompt: evidence, question, and the instruction if there is one, without outer white space."""
+    e = _strip(evidence)
+    given = F.when(e == "", F.lit(NO_EVIDENCE)).otherwise(e)
+    parts = [F.concat(F.lit("Evidence:\n"), given), F.concat(F.lit("Question: "), _strip(question))]
+    return F.concat_ws("\n\n", *parts, *([F.lit(instruction.strip())] if instruction.strip() else []))
+
+
+def messages(question: Column, evidence: Column, system: str = SYSTEM, instruction: str = "") -> Column:
+    """The prompt as a list of structs (role, content); a blank system text is left out."""
+    said = [("system", F.lit(system.strip()))] if system.strip() else []
+    return F.array(*[F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in [*said, ("user", prompt(question, evidence, instruction))]])
+
+
+def completion(question: Column, evidence: Column, system: str = SYSTEM, instruction: str = "") -> Column:
+    """The messages as one text for models without a chat form: each under its role, and the assistant's turn open."""
+    parts = F.transform(messages(question, evidence, system, instruction), lambda m: F.concat(F.initcap(m["role"]), F.lit(":\n"), m["content"]))
+    return F.concat_ws("\n\n", parts, F.lit("Assistant:"))
 
 
 def echo(evidence: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
@@ -44,11 +44,12 @@ class PackPlan:
         return replace(self, **{c: 0.0 for c in VARIANTS[name]})
 
 
-def candidates(ranked: DataFrame) -> DataFrame:
+def candidates(ranked: DataFrame, count: Callable[[str | None], int] = part_count) -> DataFrame:
     """ranked (with question and the ranked paragraphs of rank_context) with cands array<struct>: a candidate for each sentence with terms.
 
     Sentences keep their number in the paragraph; scores are scaled to 0..1 within an example, all
-    1 if equal; overlaps are shares of the question's terms. No shuffle.
+    1 if equal; overlaps are shares of the question's terms. count gives a sentence's tokens:
+    white-space parts, or a tokenizer's count. No shuffle.
     """
     kinds = {f.name: f.dataType.simpleString() for f in ranked.schema.fields}
     names = [c for c in ranked.columns if c != "ranked"]
@@ -59,14 +60,14 @@ def candidates(ranked: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 qs = [term_list(x) for x in b.column(names.index("question")).to_pylist()]
-                out = [_of(q, r or []) for q, r in zip(qs, b.column(len(names)).to_pylist())]
+                out = [_of(q, r or [], count) for q, r in zip(qs, b.column(len(names)).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(item)), pa.array(qs, pa.list_(pa.string()))], names=[*names, "cands", "question_terms"])
 
     fields = "title:string,sentence_id:int,text:string,paragraph_rank:int,terms:array<string>,token_count:int,paragraph_score:double,title_overlap:double,query_overlap:double"
     return ranked.select(*names, "ranked").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", cands array<struct<{fields}>>, question_terms array<string>")
 
 
-def _of(question_terms: list[str], ranked: list[dict]) -> list[dict]:
+def _of(question_terms: list[str], ranked: list[dict], count: Callable[[str | None], int] = part_count) -> list[dict]:
     q = frozenset(question_terms)
     scores = [p["score"] for p in ranked]
     lo, hi = (min(scores), max(scores)) if scores else (0.0, 0.0)
@@ -77,7 +78,7 @@ def _of(question_terms: list[str], ranked: list[dict]) -> list[dict]:
         for i, s in enumerate(p["sentences"] or []):
             t = term_list(s)
             if t:
-                out.append({**head, "sentence_id": i, "text": s, "terms": t, "token_count": part_count(s), "query_overlap": len(q.intersection(t)) / max(len(q), 1)})
+                out.append({**head, "sentence_id": i, "text": s, "terms": t, "token_count": count(s), "query_overlap": len(q.intersection(t)) / max(len(q), 1)})
     return out
 
 

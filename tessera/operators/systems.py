@@ -30,6 +30,14 @@ def latency_summary(samples: DataFrame, by: list[str], value: str) -> DataFrame:
     return whole.join(spread_, by).join(p, by).select(*by, "sample_count", "mean_ms", "std_ms", "p50_ms", "p95_ms", "min_ms", "max_ms")
 
 
+def latency_rows(results: DataFrame, name: str, samples: str, metadata: list[str] = ()) -> DataFrame:
+    """(metadata..., benchmark, sample_index, latency_ms): a row for each sample of each result, in order. Metadata must not be named like these."""
+    own = ("benchmark", "sample_index", "latency_ms")
+    if clash := sorted(set(metadata) & set(own)):
+        raise ValueError(f"metadata named like a column of the table: {', '.join(clash)}")
+    return results.select(*metadata, F.col(name).alias("benchmark"), F.posexplode(samples).alias("sample_index", "latency_ms"))
+
+
 def breakdown(summary: DataFrame, by: list[str], parts: list[str], total: str) -> DataFrame:
     """by, component, value, share: the parts of a total as rows."""
     long = summary.unpivot([*by, total], parts, "component", "value")

@@ -141,9 +141,9 @@ def echo_answers(spark, sf):
     return generations(spark, sf).select("generation_id", generation.echo(F.col("evidence")).alias("answer"))
 
 
-@query("WITH " + q.GEN + " SELECT generation_id, 'Question: ' || coalesce(question, '') || chr(10) || chr(10) || 'Evidence:' || chr(10) || CASE WHEN trim(coalesce(evidence, '')) = '' THEN 'No evidence provided.' ELSE evidence END || chr(10) || chr(10) || 'Answer:' AS prompt FROM gen")
+@query(f"WITH {q.GEN}, p AS (SELECT generation_id, {q.strip(chr(99) + 'oalesce(evidence, ' + chr(39) * 2 + ')')} AS e, {q.strip(chr(99) + 'oalesce(question, ' + chr(39) * 2 + ')')} AS x FROM gen) SELECT generation_id, 'Evidence:' || chr(10) || CASE WHEN e = '' THEN 'No evidence provided.' ELSE e END || chr(10) || chr(10) || 'Question: ' || x AS prompt, 'User:' || chr(10) || 'Evidence:' || chr(10) || CASE WHEN e = '' THEN 'No evidence provided.' ELSE e END || chr(10) || chr(10) || 'Question: ' || x || chr(10) || chr(10) || 'Assistant:' AS completion FROM p")
 def prompts(spark, sf):
-    return generations(spark, sf).select("generation_id", generation.prompt(F.col("question"), F.col("evidence")).alias("prompt"))
+    return generations(spark, sf).select("generation_id", generation.prompt(F.col("question"), F.col("evidence")).alias("prompt"), generation.completion(F.col("question"), F.col("evidence"), system="").alias("completion"))
 
 
 # Retrieval
@@ -688,6 +688,12 @@ def latency_summary(spark, sf):
     return m.select("benchmark_name", "sample_count", *[F.round(c, 6).alias(c) for c in ("mean_ms", "std_ms", "p50_ms", "p95_ms")], "min_ms", "max_ms")
 
 
+@query(f"WITH {q.RUN} SELECT run_id, benchmark_name AS benchmark, (generate_subscripts(latency_samples_ms, 1) - 1)::INTEGER AS sample_index, unnest(latency_samples_ms) AS latency_ms FROM runs")
+def latency_rows(spark, sf):
+    """A row for each latency sample of each run."""
+    return systems.latency_rows(runs(spark, sf), "benchmark_name", "latency_samples_ms", ["run_id"])
+
+
 _PART = "SELECT benchmark_name, run_day, '{0}' AS component, {0} AS value, round(CASE WHEN max_ms = 0 THEN 0.0 ELSE {0} / max_ms END, 9) AS share FROM latency_summaries"
 
 

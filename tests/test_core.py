@@ -370,6 +370,38 @@ def test_statistics_plan(spark, tmp_path):
         statistics.run(spark, plan, str(tmp_path / "out2"), few_replicates=True)
 
 
+def test_settings(tmp_path):
+    from tessera import config
+
+    (tmp_path / "a.json").write_text('{"packing": {"method": "mmr", "trade": 0.7}, "split": {"stratify_by": "qtype"}, "retrieval": {"top_k": 3}}')
+    s = config.load(str(tmp_path / "a.json"))
+    assert (s.packing.method, s.packing.trade, s.packing.budget, s.retrieval.top_k, s.split.stratify_by) == ("mmr", 0.7, 160, 3, ("qtype",))
+    assert config.build(s.resolved()) == s and config.build({}) == config.Settings()
+    for bad in ({"other": {}}, {"retrieval": {"depth": 1}}, {"retrieval": {"b": 2.0}}):
+        with pytest.raises(ValueError):
+            config.build(bad)
+    (tmp_path / "a.yaml").write_text("retrieval: {top_k: 4}")
+    pytest.importorskip("yaml")
+    assert config.load(str(tmp_path / "a.yaml")).retrieval.top_k == 4
+
+
+def test_prompts(spark):
+    df = spark.createDataFrame([(" Who? ", " "), (None, "Title: T\n- a ")], "q string, e string")
+    got = df.select(generation.prompt(F.col("q"), F.col("e"), " Short. ").alias("p"), generation.completion(F.col("q"), F.col("e"), "Be brief.").alias("c"), F.size(generation.messages(F.col("q"), F.col("e"), "")).alias("n")).collect()
+    assert got[0].p == "Evidence:\nNo evidence provided.\n\nQuestion: Who?\n\nShort." and got[0].n == 1
+    assert got[1].c == "System:\nBe brief.\n\nUser:\nEvidence:\nTitle: T\n- a\n\nQuestion: \n\nAssistant:"
+
+
+def test_other_token_counters_and_latency_rows(spark):
+    ex = spark.createDataFrame([("e", "old mill", [("T", ["the old mill", "x y"])])], "eid string, question string, context array<struct<title:string,sentences:array<string>>>")
+    c = packing.candidates(retrieval.rank_context(ex), lambda s: len(s or "")).first()
+    assert [x.token_count for x in c.cands] == [12, 3]
+    r = spark.createDataFrame([("b", [1.0, 2.0], "m"), ("n", None, "m")], "name string, ms array<double>, model string")
+    assert [tuple(x) for x in systems.latency_rows(r, "name", "ms", ["model"]).collect()] == [("m", "b", 0, 1.0), ("m", "b", 1, 2.0)]
+    with pytest.raises(ValueError, match="metadata"):
+        systems.latency_rows(r.withColumn("latency_ms", F.lit(1)), "name", "ms", ["latency_ms"])
+
+
 def test_stream_appends_each_key_once(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
