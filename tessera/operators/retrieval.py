@@ -131,31 +131,56 @@ def content_id_problems(corpus: DataFrame, corpus_id: str = "corpus_id") -> Data
     return wrong.unionByName(corpus.groupBy(corpus_id).count().where("count > 1").select(corpus_id, F.lit("repeated").alias("problem")))
 
 
+#: A term is common in an index if at least this share of the documents has it.
+COMMON = 0.05
+
+
 def rank_corpus(index: BM25Index, queries: DataFrame, query_id: str, question: str, top_k: int = 5) -> DataFrame:
     """(query_id, key, rank, score): the top_k documents of the whole corpus for each query.
 
     Only terms of the queries meet the postings, and these are dealt by document: the query weights
-    are broadcast (if there are few), so a document's scores are summed up where it is, and a term
-    that most documents and queries have is spread like the documents. Each task then keeps its
-    top_k of each query before they are merged, so what is shuffled is the matching postings once
-    and top_k rows a query and task. With too many weights to broadcast, the join shuffles by term.
+    are broadcast (if there are few), so a document's scores are summed up where it is, and each
+    task keeps its top_k of each query before they are merged. With too many weights to broadcast,
+    the join shuffles by term.
+
+    Common terms would pair nearly every query with nearly every document, so documents are first
+    scored by the other terms. Where a query's top_k-th such score is beyond all that its common
+    terms can add to any document, only documents that could still reach it are scored in full: no
+    document is lost. The remaining queries are scored against all their postings.
+
     Queries that match fewer than top_k documents are filled up with score-0 documents by smallest
     key: matched scores are positive, so only the top_k smallest keys can be needed. Null questions
     and an empty corpus give only such rows, or none.
     """
     q = materialize(queries.select(F.col(query_id).alias("qid"), F.explode(tokens(F.col(question))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf")), "query_terms")
     small = materialize(index.postings.join(counted_broadcast(q.select("term").distinct()), "term", "left_semi"), "postings")
-    df = small.groupBy("term").agg(F.count("*").alias("df"))
-    weights = materialize(q.join(df, "term").crossJoin(F.broadcast(index.stats.select("n"))).select("qid", "term", (F.col("qf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("weight")), "weights")
-    mean = index.stats.select("avgdl")
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     impact = tf * (index.k1 + 1) / F.greatest(tf + index.k1 * (1 - index.b + index.b * dl / F.greatest(F.col("avgdl"), F.lit(EPS))), F.lit(EPS))
-    impacts = small.crossJoin(F.broadcast(mean)).select("term", "key", impact.alias("impact")).repartition("key")  # once a posting, whatever the number of queries
-    scored = impacts.join(counted_broadcast(weights), "term").groupBy("key", "qid").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+    impacts = small.crossJoin(F.broadcast(index.stats.select("avgdl"))).select("term", "key", impact.alias("impact"))  # once a posting, whatever the number of queries
+    df = impacts.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("most"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weights = q.join(df, "term").crossJoin(F.broadcast(index.stats.select("n")))
+    weights = materialize(weights.select("qid", "term", (F.col("qf") * idf).alias("weight"), (F.col("qf") * idf * F.col("most")).alias("most"), (F.col("df") >= COMMON * F.col("n")).alias("common")), "weights")
+    dealt = impacts.repartition("key")
+
+    def score(w: DataFrame, rows: DataFrame = dealt) -> DataFrame:
+        return rows.join(counted_broadcast(w.select("qid", "term", "weight")), "term").groupBy("key", "qid").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+
     by = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "key")
-    best = materialize(scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k), "best")  # top_k rows a query
+    cut = lambda d: d.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)
+    rare = materialize(score(weights.where("not common")), "rare")
+    least = cut(rare).where(F.col("rank") == top_k).select("qid", F.col("score").alias("least"))
+    add = weights.where("common").groupBy("qid").agg(F.sum("most").alias("add"))
+    safe = least.join(add, "qid", "left").withColumn("add", F.coalesce("add", F.lit(0.0))).where(F.col("least") > F.col("add") + 1e-6)
+    safe = materialize(safe, "safe")  # a row a query
+    able = materialize(rare.join(counted_broadcast(safe), "qid").where(F.col("score") + F.col("add") >= F.col("least") - 1e-6).select("qid", "key", "score"), "able")
+    common = weights.where("common")
+    of_common = impacts.join(counted_broadcast(common.select("term").distinct()), "term", "left_semi").join(counted_broadcast(able.select("key").distinct()), "key", "left_semi")
+    more = able.select("qid", "key").join(of_common, "key").join(counted_broadcast(common.select("qid", "term", "weight")), ["qid", "term"]).select("qid", "key", (F.col("weight") * F.col("impact")).alias("score"))
+    done = able.unionByName(more).groupBy("qid", "key").agg(F.sum("score").alias("score"))
+    rest = weights.join(counted_broadcast(safe.select("qid")), "qid", "left_anti")
+    best = materialize(cut(done).select("qid", "key", "score").unionByName(cut(score(rest)).select("qid", "key", "score")), "best")  # top_k rows a query
     full = best.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= top_k).select("qid")
     first = F.broadcast(index.docs.select("key").orderBy("key").limit(top_k))
     fill = queries.select(F.col(query_id).alias("qid")).distinct().join(full, "qid", "left_anti").crossJoin(first).join(best.select("qid", "key"), ["qid", "key"], "left_anti").select("qid", "key", F.lit(0.0).alias("score"))
-    all_ = best.select("qid", "key", "score").unionByName(fill)
-    return all_.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k).select(F.col("qid").alias(query_id), F.col("key").alias(index.key), "rank", "score")
+    return cut(best.unionByName(fill)).select(F.col("qid").alias(query_id), F.col("key").alias(index.key), "rank", "score")

@@ -107,6 +107,11 @@ def draw(df: DataFrame, rep: str, slot: str, seed: int, out: str) -> DataFrame:
     return x.withColumn(out, F.expr(f"{out} ^ shiftright({out}, 16)"))
 
 
+def _over_tasks(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the session's shuffles have: few bytes, but each row is resampled thousands of times."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def bootstrap_hash(values: DataFrame, by: list[str], key: str, value: str, replicates: int = 200, seed: int = SEED, confidence: float = CONFIDENCE) -> DataFrame:
     """by, n, mean, low, high: percentile interval of the mean over resamples whose draws any engine repeats (see draw).
 
@@ -116,7 +121,7 @@ def bootstrap_hash(values: DataFrame, by: list[str], key: str, value: str, repli
     """
     v = materialize(running_total(values.select(*by, key, F.col(value).alias("v")), by, key, out="ord").select(*by, "ord", "v"), "numbered")
     n = v.groupBy(*by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    draws = v.select(*by, F.col("ord").alias("slot")).join(F.broadcast(n.select(*by, "n")), by).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))  # n: one row a comparison
+    draws = _over_tasks(v).select(*by, F.col("ord").alias("slot")).join(F.broadcast(n.select(*by, "n")), by).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))  # n: one row a comparison
     draws = draw(draws, "rep", "slot", seed, "x").select(*by, "rep", (F.col("x") % F.col("n")).alias("ord"))
     means = draws.join(counted_broadcast(v), [*by, "ord"]).groupBy(*by, "rep").agg(F.avg("v").alias("m"))
     tail = (1 - confidence) / 2
@@ -155,7 +160,7 @@ def sign_test_hash(pairs: DataFrame, by: list[str], key: str, replicates: int =
     """
     v = materialize(running_total(pairs.select(*by, key, "diff"), by, key, out="ord").select(*by, "ord", "diff"), "numbered")
     obs = v.groupBy(*by).agg(F.count("*").alias("n"), F.abs(F.avg("diff")).alias("obs"))
-    flips = draw(v.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))), "rep", "ord", seed, "x")
+    flips = draw(_over_tasks(v).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))), "rep", "ord", seed, "x")
     means = flips.groupBy(*by, "rep").agg(F.abs(F.avg(F.when(F.col("x") % 2 == 0, F.col("diff")).otherwise(-F.col("diff")))).alias("m"))
     return means.join(F.broadcast(obs), by).groupBy(*by).agg(F.max("n").alias("n"), ((F.count(F.when(F.col("m") >= F.col("obs") - SAME, 1)) + 1) / (replicates + 1)).alias("p_value"))
 

@@ -285,6 +285,31 @@ def test_strict_records(spark):
             read(**bad)
 
 
+def test_corpus_ranking_equals_scoring_all(spark, monkeypatch):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(f"d{i:03d}", r.choice(words), [" ".join(["the", *r.choices(words, [1 / (k + 1) for k in range(60)], k=r.randrange(1, 25))])]) for i in range(150)] + [("z1", None, None)]
+    df = spark.createDataFrame(docs, "key string, title string, sentences array<string>")
+    qs = [(f"q{i}", " ".join(["the", *r.sample(words, 3)])) for i in range(20)] + [("n", None), ("t", "the"), ("x", "unknown")]
+    want = {}
+    counts = {k: text.token_list(f"{t or ''} {text.joined(s)}") for k, t, s in docs}
+    mean = sum(map(len, counts.values())) / len(docs)
+    for q, question in qs:
+        score = dict.fromkeys(counts, 0.0)
+        for t in text.token_list(question):
+            n = sum(t in c for c in counts.values())
+            for k, c in counts.items():
+                if f := c.count(t):
+                    score[k] += np.log((len(docs) - n + 0.5) / (n + 0.5) + 1) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(c) / mean))
+        want[q] = [(k, pytest.approx(v)) for k, v in sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:4]]
+    for common in (0.05, 0.5, 2.0):  # most, few and no terms are common
+        monkeypatch.setattr(retrieval, "COMMON", common)
+        got = {}
+        for x in retrieval.rank_corpus(retrieval.build_index(df, "key"), spark.createDataFrame(qs, "qid string, question string"), "qid", "question", 4).orderBy("qid", "rank").collect():
+            got.setdefault(x.qid, []).append((x.key, x.score))
+        assert got == want
+
+
 def test_saved_index_ranks_alike_and_knows_its_corpus(spark, tmp_path):
     docs = spark.createDataFrame([("d1", "p2", "Mill", ["old mill"]), ("d1", "p1", "Mill", ["old mill"]), ("d0", "p9", "Mill", ["old mill"]), ("d5", "p5", "Dam", ["new dam"])], "document_id string, paragraph_id string, title string, sentences array<string>").withColumn("key", F.struct("document_id", "paragraph_id"))
     index = retrieval.build_index(docs, "key")
