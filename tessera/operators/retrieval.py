@@ -131,8 +131,8 @@ def content_id_problems(corpus: DataFrame, corpus_id: str = "corpus_id") -> Data
     return wrong.unionByName(corpus.groupBy(corpus_id).count().where("count > 1").select(corpus_id, F.lit("repeated").alias("problem")))
 
 
-#: A term is common in an index if at least this share of the documents has it.
-COMMON = 0.05
+#: A term is common in an index if at least this share of the documents has it; queries for which the first share isn't enough try the next.
+COMMON = (0.05, 0.3)
 
 
 def rank_corpus(index: BM25Index, queries: DataFrame, query_id: str, question: str, top_k: int = 5) -> DataFrame:
@@ -160,7 +160,7 @@ def rank_corpus(index: BM25Index, queries: DataFrame, query_id: str, question: s
     df = impacts.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("most"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weights = q.join(df, "term").crossJoin(F.broadcast(index.stats.select("n")))
-    weights = materialize(weights.select("qid", "term", (F.col("qf") * idf).alias("weight"), (F.col("qf") * idf * F.col("most")).alias("most"), (F.col("df") >= COMMON * F.col("n")).alias("common")), "weights")
+    weights = materialize(weights.select("qid", "term", (F.col("qf") * idf).alias("weight"), (F.col("qf") * idf * F.col("most")).alias("most"), (F.col("df") / F.col("n")).alias("share")), "weights")
     dealt = impacts.repartition("key")
 
     def score(w: DataFrame, rows: DataFrame = dealt) -> DataFrame:
@@ -168,18 +168,27 @@ def rank_corpus(index: BM25Index, queries: DataFrame, query_id: str, question: s
 
     by = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "key")
     cut = lambda d: d.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)
-    rare = materialize(score(weights.where("not common")), "rare")
-    least = cut(rare).where(F.col("rank") == top_k).select("qid", F.col("score").alias("least"))
-    add = weights.where("common").groupBy("qid").agg(F.sum("most").alias("add"))
-    safe = least.join(add, "qid", "left").withColumn("add", F.coalesce("add", F.lit(0.0))).where(F.col("least") > F.col("add") + 1e-6)
-    safe = materialize(safe, "safe")  # a row a query
-    able = materialize(rare.join(counted_broadcast(safe), "qid").where(F.col("score") + F.col("add") >= F.col("least") - 1e-6).select("qid", "key", "score"), "able")
-    common = weights.where("common")
-    of_common = impacts.join(counted_broadcast(common.select("term").distinct()), "term", "left_semi").join(counted_broadcast(able.select("key").distinct()), "key", "left_semi")
-    more = able.select("qid", "key").join(of_common, "key").join(counted_broadcast(common.select("qid", "term", "weight")), ["qid", "term"]).select("qid", "key", (F.col("weight") * F.col("impact")).alias("score"))
-    done = able.unionByName(more).groupBy("qid", "key").agg(F.sum("score").alias("score"))
-    rest = weights.join(counted_broadcast(safe.select("qid")), "qid", "left_anti")
-    best = materialize(cut(done).select("qid", "key", "score").unionByName(cut(score(rest)).select("qid", "key", "score")), "best")  # top_k rows a query
+    found, todo = [], weights
+    for share in COMMON:
+        common = todo.where(F.col("share") >= share)
+        rare = materialize(score(todo.where(F.col("share") < share)), "rare")
+        least = cut(rare).where(F.col("rank") == top_k).select("qid", F.col("score").alias("least"))
+        add = common.groupBy("qid").agg(F.sum("most").alias("add"))
+        safe = least.join(add, "qid", "left").withColumn("add", F.coalesce("add", F.lit(0.0))).where(F.col("least") > F.col("add") + 1e-6)
+        safe = materialize(safe, "safe")  # a row a query
+        able = materialize(rare.join(counted_broadcast(safe), "qid").where(F.col("score") + F.col("add") >= F.col("least") - 1e-6).select("qid", "key", "score"), "able")
+        of_common = impacts.join(counted_broadcast(common.select("term").distinct()), "term", "left_semi").join(counted_broadcast(able.select("key").distinct()), "key", "left_semi")
+        more = able.select("qid", "key").join(of_common, "key").join(counted_broadcast(common.select("qid", "term", "weight")), ["qid", "term"]).select("qid", "key", (F.col("weight") * F.col("impact")).alias("score"))
+        found.append(cut(able.unionByName(more).groupBy("qid", "key").agg(F.sum("score").alias("score"))))
+        todo = materialize(todo.join(counted_broadcast(safe.select("qid")), "qid", "left_anti"), "todo")
+        if todo.isEmpty():
+            break
+    else:
+        found.append(cut(score(todo)))
+    best = found[0].select("qid", "key", "score")
+    for f in found[1:]:
+        best = best.unionByName(f.select("qid", "key", "score"))
+    best = materialize(best, "best")  # top_k rows a query
     full = best.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= top_k).select("qid")
     first = F.broadcast(index.docs.select("key").orderBy("key").limit(top_k))
     fill = queries.select(F.col(query_id).alias("qid")).distinct().join(full, "qid", "left_anti").crossJoin(first).join(best.select("qid", "key"), ["qid", "key"], "left_anti").select("qid", "key", F.lit(0.0).alias("score"))
