@@ -168,12 +168,16 @@ def rank_corpus(index: BM25Index, queries: DataFrame, query_id: str, question: s
 
     by = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "key")
     cut = lambda d: d.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)
-    found, todo = [], weights
+    found, todo, floor = [], weights, None  # floor: a score that top_k documents of a query are known to have
     for share in COMMON:
         common = todo.where(F.col("share") >= share)
-        rare = materialize(score(todo.where(F.col("share") < share)), "rare")
-        least = cut(rare).where(F.col("rank") == top_k).select("qid", F.col("score").alias("least"))
-        add = common.groupBy("qid").agg(F.sum("most").alias("add"))
+        add = materialize(common.groupBy("qid").agg(F.sum("most").alias("add")), "add")
+        rare = score(todo.where(F.col("share") < share))
+        if floor is not None:
+            at_least = floor.join(add, "qid", "left").select("qid", (F.col("least") - F.coalesce("add", F.lit(0.0)) - 1e-6).alias("at_least"))
+            rare = rare.join(counted_broadcast(at_least), "qid", "left").where(F.col("score") >= F.coalesce("at_least", F.lit(0.0))).select("key", "qid", "score")
+        rare = materialize(rare, "rare")
+        least = floor = materialize(cut(rare).where(F.col("rank") == top_k).select("qid", F.col("score").alias("least")), "least")
         safe = least.join(add, "qid", "left").withColumn("add", F.coalesce("add", F.lit(0.0))).where(F.col("least") > F.col("add") + 1e-6)
         safe = materialize(safe, "safe")  # a row a query
         able = materialize(rare.join(counted_broadcast(safe), "qid").where(F.col("score") + F.col("add") >= F.col("least") - 1e-6).select("qid", "key", "score"), "able")
