@@ -153,13 +153,14 @@ def rank_corpus(index: BM25Index, queries: DataFrame, query_id: str, question: s
     and an empty corpus give only such rows, or none.
     """
     q = materialize(queries.select(F.col(query_id).alias("qid"), F.explode(tokens(F.col(question))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf")), "query_terms")
-    small = materialize(index.postings.join(counted_broadcast(q.select("term").distinct()), "term", "left_semi"), "postings")
+    stats = materialize(index.stats, "stats")  # one row
+    small = index.postings.join(counted_broadcast(q.select("term").distinct()), "term", "left_semi")
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     impact = tf * (index.k1 + 1) / F.greatest(tf + index.k1 * (1 - index.b + index.b * dl / F.greatest(F.col("avgdl"), F.lit(EPS))), F.lit(EPS))
-    impacts = small.crossJoin(F.broadcast(index.stats.select("avgdl"))).select("term", "key", impact.alias("impact"))  # once a posting, whatever the number of queries
+    impacts = materialize(small.crossJoin(F.broadcast(stats.select("avgdl"))).select("term", "key", impact.alias("impact")), "impacts")  # once a posting, whatever the number of queries
     df = impacts.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("most"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = q.join(df, "term").crossJoin(F.broadcast(index.stats.select("n")))
+    weights = q.join(df, "term").crossJoin(F.broadcast(stats.select("n")))
     weights = materialize(weights.select("qid", "term", (F.col("qf") * idf).alias("weight"), (F.col("qf") * idf * F.col("most")).alias("most"), (F.col("df") / F.col("n")).alias("share")), "weights")
     dealt = impacts.repartition("key")
 
