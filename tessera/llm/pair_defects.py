@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.runtime import counted_broadcast, materialize
 
-#: About how many pairs, chosen by a hash of their ids, the words' languages are learnt from, and the longest text used for it.
-FIT_PAIRS, FIT_CHARS = 8000, 4000
+#: A task hands on its counts of words when it holds so many; no word is lost by that.
+FLUSH_WORDS = 200_000
 #: Vote of a word whose language was learnt (function words have 1, shared by their languages).
 LEARNT_VOTE = 0.7
 #: A last word and a bare name, which are looked up in the record's other texts, have at most so many characters.
@@ -327,7 +329,7 @@ def _votes(text: str, learnt: dict[str, str] | None) -> dict[str, float]:
         if first or not w[0].isupper():
             for p in parts:
                 own = _VOTES.get(p)
-                if own is None and learnt and p in learnt and not w[0].isupper():
+                if own is None and learnt and not w[0].isupper() and p in learnt:
                     own = ((learnt[p], LEARNT_VOTE),)
                 for lang, v in own or ():
                     votes[lang] = votes.get(lang, 0.0) + v
@@ -348,6 +350,22 @@ def _votes(text: str, learnt: dict[str, str] | None) -> dict[str, float]:
     return votes
 
 
+def _observed(pairs: Iterable[tuple[str | None, str | None]]) -> Iterator[tuple[str, set[str]]]:
+    """(language, lower-case words) of the pairs whose question's function words tell its language clearly."""
+    for q, a in pairs:
+        votes = sorted(((v, lang) for lang, v in language(_clean(q or "")).items()), reverse=True)
+        if not votes or votes[0][0] < 2 or len(votes) > 1 and votes[0][0] < 1.5 * votes[1][0]:
+            continue
+        yield votes[0][1], {w for t in (q, a) if t for w in _WORD.findall(_clean(t)) if w.islower() and len(w) > 2}
+
+
+def _main_language(by: dict[str, int], sizes: dict[str, int]) -> str | None:
+    """The language a word occurs in almost only, by its pairs and all pairs of each language."""
+    rate = {lang: by[lang] / (sizes[lang] + 20) for lang in sorted(by)}
+    best = max(rate, key=rate.get)
+    return best if by[best] >= 3 and rate[best] >= 0.9 * sum(rate.values()) else None
+
+
 def learn_words(pairs: list[tuple[str | None, str | None]]) -> dict[str, str]:
     """The language of words that occur in questions and answers of one language almost only.
 
@@ -357,22 +375,24 @@ def learn_words(pairs: list[tuple[str | None, str | None]]) -> dict[str, str]:
     """
     counts: dict[str, dict[str, int]] = {}
     sizes: dict[str, int] = {}
-    for q, a in pairs:
-        votes = sorted(((v, lang) for lang, v in language(_clean(q or "")).items()), reverse=True)
-        if not votes or votes[0][0] < 2 or len(votes) > 1 and votes[0][0] < 1.5 * votes[1][0]:
-            continue
-        lang = votes[0][1]
+    for lang, words in _observed(pairs):
         sizes[lang] = sizes.get(lang, 0) + 1
-        for w in {w for t in (q, a) if t for w in _WORD.findall(_clean(t)) if w.islower() and len(w) > 2}:
+        for w in words:
             by = counts.setdefault(w, {})
             by[lang] = by.get(lang, 0) + 1
-    out = {}
-    for w, by in counts.items():
-        rate = {lang: n / (sizes[lang] + 20) for lang, n in by.items()}
-        best = max(rate, key=rate.get)
-        if by[best] >= 3 and rate[best] >= 0.9 * sum(rate.values()):
-            out[w] = best
-    return out
+    return {w: lang for w, by in counts.items() if (lang := _main_language(by, sizes))}
+
+
+class _Asked:
+    """Stands for the learnt words before they are joined: knows none and notes which are looked up."""
+
+    def __init__(self) -> None:
+        self.words: set[str] = set()
+
+    def __contains__(self, word: str) -> bool:
+        if len(word) > 2 and word.islower():  # others are never learnt
+            self.words.add(word)
+        return False
 
 
 _AUTOMATON = RefusalAutomaton(REFUSALS)
@@ -486,11 +506,40 @@ def _last_word(text: str):
     return F.regexp_extract(F.substring(F.coalesce(text, F.lit("")), -LAST_WORD, LAST_WORD), r"(?<![\p{L}\p{N}_'’])(\p{Ll}{1,24})[*`_\s]*$", 1)
 
 
-def learnt_words(records: DataFrame) -> dict[str, str]:
-    """learn_words of a sample of about FIT_PAIRS records, drawn by the hash of their ids."""
-    share = min(1.0, FIT_PAIRS / max(records.count(), 1))
-    drawn = records.where(F.expr(f"xxhash64(rec_table, rec_id) / 18446744073709551616D + 0.5D < {share}") & (F.length("question") <= FIT_CHARS) & (F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS))
-    return learn_words([tuple(r) for r in drawn.select("question", "text").distinct().collect()])  # about FIT_PAIRS short texts
+def learnt_words(records: DataFrame) -> DataFrame:
+    """(w, lang) as learn_words gives them for all different pairs of question and text.
+
+    Words are counted where the pairs are and summed by a shuffle; only the numbers of pairs, a row
+    for each language, come to the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[tuple[str, str]] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in n], pa.string()), pa.array([lang for _, lang in n], pa.string()), pa.array(n.values(), pa.int64())], names=["w", "lang", "n"])
+            n.clear()
+            return out
+
+        for b in batches:
+            for lang, words in _observed(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                n["", lang] += 1
+                n.update((w, lang) for w in words)
+                if len(n) > FLUSH_WORDS:
+                    yield flush()
+        yield flush()
+
+    pairs = records.where("question is not null").select("question", "text").distinct()
+    counts = materialize(pairs.mapInArrow(count, "w string, lang string, n long").groupBy("w", "lang").agg(F.sum("n").alias("n")), "word_counts")
+    sizes = {r.lang: r.n for r in counts.where("w = ''").collect()}  # a row for each language
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang = pa.array([_main_language(dict(x), sizes) for x in b.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(lang.is_valid()), lang.filter(lang.is_valid())], names=["w", "lang"])
+
+    by = counts.where("w <> ''").groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))  # at most a row for each language
+    return by.mapInArrow(decide, "w string, lang string")
 
 
 def find_defects(records: DataFrame) -> DataFrame:
@@ -500,10 +549,10 @@ def find_defects(records: DataFrame) -> DataFrame:
     null is allowed in every column but rec_id, and rows with a null rec_id are left out. Tests in
     this order: empty; question_copy (suffix automaton of the question, copied share of the
     answer); refusal (word automaton); other_language (votes of function words and of words whose
-    language was learnt from a sample); truncated (delimiter stack, sentence ends, words and names
-    that go on elsewhere; names, short phrases and lists need no end).
+    language was learnt from all pairs); truncated (delimiter stack, sentence ends, words and names
+    that go on elsewhere; names, short phrases and lists need no end). Records whose function words
+    don't tell both languages wait until their words are joined with the learnt ones.
     """
-    learnt = learnt_words(records)
     # No pattern runs over a long text again and again: a last word and a bare name are short.
     end = F.substring(F.coalesce("text", F.lit("")), -LAST_WORD, LAST_WORD)
     token = F.regexp_extract(end, r"(?<![\p{L}\p{M}\p{N}'’-])([\p{L}\p{M}\p{N}'’-]*[\p{L}\p{M}])$", 1)
@@ -518,11 +567,29 @@ def find_defects(records: DataFrame) -> DataFrame:
     rows = rows.join(counted_broadcast(materialize(stubs(records), "stubs").withColumn("found", F.lit(True))), "stub", "left")
     rows = rows.select("rec_table", "rec_id", "question", "text", "cut", F.coalesce("found", F.lit(False)).alias("stub"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, words = [], []
+            for q, t, c, s in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                asked = _Asked()
+                found.append(defect(q, t, c, s, asked))
+                words.append(list(asked.words) or None)
+            d, w = pa.array(found, pa.string()), pa.array(words, pa.list_(pa.string()))
+            out = pa.RecordBatch.from_arrays([*b.columns, d, w], names=[*b.schema.names, "defect", "words"])
+            yield out.filter(pc.or_(d.is_valid(), w.is_valid()))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [defect(q, t, c, s, learnt) for q, t, c, s in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)))]
+            found = [d if m is None else defect(q, t, c, s, dict(m)) for q, t, c, s, d, m in zip(*(b.column(i).to_pylist() for i in range(2, 8)))]
             d = pa.array(found, pa.string())
             keep = d.is_valid()
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), d.filter(keep)], names=["rec_table", "rec_id", "defect"])
 
-    return rows.mapInArrow(run, "rec_table string, rec_id string, defect string").distinct()
+    schema = "rec_table string, rec_id string, question string, text string, cut boolean, stub boolean, defect string"
+    read = materialize(rows.mapInArrow(first, f"{schema}, words array<string>").withColumn("row", F.monotonically_increasing_id()), "read")
+    waiting = read.where("words is not null")
+    learnt = counted_broadcast(materialize(learnt_words(records), "learnt_words"))
+    known = waiting.select("row", F.explode("words").alias("w")).join(learnt, "w").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("w", "lang"))).alias("learnt"))
+    waiting = waiting.join(known, "row", "left").select("rec_table", "rec_id", "question", "text", "cut", "stub", "defect", "learnt")
+    done = read.where("words is null").select("rec_table", "rec_id", "defect")
+    return done.unionByName(waiting.mapInArrow(again, "rec_table string, rec_id string, defect string")).distinct()

@@ -44,6 +44,26 @@ def test_languages_of_words_are_learnt():
     assert pair_defects.defect("¿Quién dirigió el taller de Alta?", "la hija mayor del herrero", learnt=learnt) is None
 
 
+EN, ES = "Who sold the old mill that was in the town of Alta?", "¿Quién dirigió el taller de Alta antes de que se quemara?"
+
+
+@pytest.mark.parametrize("others, more", [(12_000, ""), (100, " Alta Berga" * 500)])
+def test_words_are_learnt_from_every_pair_however_many_or_long(spark, others, more):
+    rows = [("t", f"es{i}", ES, f"la hija mayor del herrero{more if i == 1 else ''} {i}") for i in range(3)] + [("t", "en", EN, "la hija mayor del herrero")]
+    df = spark.range(others).selectExpr("'t' rec_table", "concat('o', id) rec_id", f"'{EN}' question", "concat('the smith ', id) text")
+    df = df.union(spark.createDataFrame(rows, df.schema)).withColumn("reference", F.lit(None).cast("string"))
+    assert [tuple(r) for r in pair_defects.find_defects(df).collect()] == [("t", "en", "other_language")]
+
+
+def test_words_counted_by_many_tasks_are_those_of_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(pair_defects, "FLUSH_WORDS", 3)
+    pairs = [(EN, f"the eldest daughter of smith {i % 9}") for i in range(40)] + [(ES, f"la hija mayor, don't {i}") for i in range(5)] + [(ES, "daughter"), (None, "daughter"), (EN, None), (EN, "x " * 5000), ("", "")]
+    df = spark.createDataFrame(pairs, "question string, text string").repartition(7)
+    learnt = {r.w: r.lang for r in pair_defects.learnt_words(df).collect()}
+    assert learnt == pair_defects.learn_words(list(dict.fromkeys(pairs))) and learnt["hija"] == "es" and learnt["eldest"] == "en"
+    assert pair_defects.learnt_words(df.limit(0)).count() == 0
+
+
 def test_stubs_are_beginnings_of_known_words_only(spark):
     q = "the harbour was harsh and the harbour was old"
     rows = [("t", str(i), q, x) for i, x in enumerate(["it was old", "it was har", "it was harbour", "it was zzz", "Har", None, "", "old **har** "])]
